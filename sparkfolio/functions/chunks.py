@@ -550,8 +550,8 @@ def term_score(c: Chunk, terms: Column) -> Column:
 
 def fallback_label(c: Chunk) -> Column:
     leaf = F.coalesce(
-        F.element_at(
-            F.filter(F.transform(F.split(c.structure_path, ">"), tx.trimmed), lambda s: F.length(s) > 0), -1
+        F.try_element_at(
+            F.filter(F.transform(F.split(c.structure_path, ">"), tx.trimmed), lambda s: F.length(s) > 0), F.lit(-1)
         ),
         F.lit(""),
     )
