@@ -229,7 +229,7 @@ def rerank_query(question: Column, intent_col: Column) -> Column:
 # ---------------------------------------------------------------- subjects
 
 def _is_stop_subject(c: Column) -> Column:
-    return c.isin(*lx.FOCUS_STOP_WORDS) | tx.is_expansion_only(c)
+    return tx.in_list(c, lx.FOCUS_STOP_WORDS) | tx.is_expansion_only(c)
 
 
 def subject_normalized(c: Column) -> Column:
@@ -249,13 +249,18 @@ def _cleaned_subject(c: Column) -> Column:
         out = F.replace(out, F.lit(w), F.lit(""))
     out = tx.trimmed(out)
     for marker in SUBJECT_MARKERS:
-        out = F.when(
-            out.contains(marker) & ~out.endswith(marker), tx.trimmed(F.substring_index(out, marker, -1))
-        ).otherwise(out)
-    final = tx.trimmed(drop(out, SUBJECT_TAIL))
-    return F.when(_is_stop_subject(out), "").when(
-        (F.length(final) < 2) | _is_stop_subject(final), ""
-    ).otherwise(final)
+        # keep what follows the last marker, unless the marker is the last character
+        out = tx.trimmed(drop(out, f"(?s)^.*{marker}(?=[^{marker}]+\\z)"))
+
+    def finish(cut: Column) -> Column:
+        return F.when(_is_stop_subject(cut), "").otherwise(
+            tx.let(
+                tx.trimmed(drop(cut, SUBJECT_TAIL)),
+                lambda f: F.when((F.length(f) < 2) | _is_stop_subject(f), "").otherwise(f),
+            )
+        )
+
+    return tx.let(out, finish)
 
 
 def _longest_entity(normalized: Column) -> Column:
@@ -312,7 +317,7 @@ def _cleaned_compare_subject(c: Column) -> Column:
     out = tx.trimmed(drop(out, COMPARE_TAIL))
     out = tx.trim_chars(out, EDGE_MARKS + "\"'“”")
     out = tx.trimmed(drop(out, lx.BOUNDARY_NOISE))
-    return F.when((F.length(out) < 2) | _is_stop_subject(out), "").otherwise(out)
+    return tx.let(out, lambda o: F.when((F.length(o) < 2) | _is_stop_subject(o), "").otherwise(o))
 
 
 def with_compare_subjects(df: DataFrame, question: str, title: str, out: str) -> DataFrame:
@@ -459,15 +464,16 @@ def intent_terms(focus: Column, subjects: Column) -> Column:
 def normalized_question(question: Column, previous_question: Column, previous_answer: Column) -> Column:
     """Question used for retrieval; a short follow-up is merged with the question before it."""
     clean = strip_boilerplate(drop(tx.trimmed(question), lx.LEADING_GREETING, lx.BOUNDARY_NOISE))
-    anchors = tx.anchor_terms(F.coalesce(previous_answer, F.lit("")), previous_question)
 
-    def merge(s: Column) -> Column:
-        merged = F.concat(previous_question, F.lit(SUPPLEMENT_MARK), s["c"])
+    def merge(c: Column) -> Column:
+        merged = F.concat(previous_question, F.lit(SUPPLEMENT_MARK), c)
+        anchors = tx.anchor_terms(F.coalesce(previous_answer, F.lit("")), previous_question)
+        focus = tx.let(
+            anchors,
+            lambda a: F.when(F.size(a) > 0, F.concat(F.lit("。重点关注："), F.array_join(a, "、"))).otherwise(""),
+        )
         return F.when(
-            needs_previous_question(s["c"]) & ~tx.is_blank(previous_question),
-            F.when(
-                F.size(s["a"]) > 0, F.concat(merged, F.lit("。重点关注："), F.array_join(s["a"], "、"))
-            ).otherwise(merged),
-        ).otherwise(s["c"])
+            ~tx.is_blank(previous_question) & needs_previous_question(c), F.concat(merged, focus)
+        ).otherwise(c)
 
-    return tx.let(F.struct(clean.alias("c"), anchors.alias("a")), merge)
+    return tx.let(clean, merge)

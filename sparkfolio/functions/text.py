@@ -22,10 +22,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def text_array(words: Iterable[str]) -> Column:
-    items = list(words)
-    if not items:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(w) for w in items])
+    """Array literal; parsed in one call instead of one call per word."""
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"array({quoted})").cast("array<string>")
+
+
+def in_list(c: Column, words: Iterable[str]) -> Column:
+    return F.array_contains(text_array(words), c)
 
 
 def trimmed(c: Column) -> Column:
@@ -128,11 +131,11 @@ def is_expansion_only(t: Column) -> Column:
         )
         for w in group
     }
-    return is_blank(t) | F.lower(t).isin(*sorted(words))
+    return is_blank(t) | in_list(F.lower(t), sorted(words))
 
 
 def is_relevance_expansion_only(t: Column) -> Column:
-    return is_expansion_only(t) | t.isin(*lx.RELEVANCE_EXPANSION_ONLY)
+    return is_expansion_only(t) | in_list(t, lx.RELEVANCE_EXPANSION_ONLY)
 
 
 def is_supplemental(t: Column) -> Column:
@@ -146,7 +149,7 @@ def is_meaningful(t: Column) -> Column:
     """A term worth searching for: not a stop word, not a request for more detail, not a short CJK word."""
     return (
         ~is_blank(t)
-        & ~t.isin(*lx.FOCUS_STOP_WORDS)
+        & ~in_list(t, lx.FOCUS_STOP_WORDS)
         & ~is_supplemental(t)
         & (has_ascii_alnum(t) | (F.length(t) > 2))
     )
@@ -273,8 +276,8 @@ def _useful_entities(c: Column, pattern: str) -> Column:
     return F.filter(
         found,
         lambda e: F.length(e).between(2, 48)
-        & ~F.lower(e).isin(*stop)
-        & ~e.isin(*lx.FOCUS_STOP_WORDS)
+        & ~in_list(F.lower(e), stop)
+        & ~in_list(e, lx.FOCUS_STOP_WORDS)
         & ~is_expansion_only(e),
     )
 
@@ -292,24 +295,32 @@ def entity_count(c: Column) -> Column:
 
 def anchor_terms(answer: Column, previous_question: Column) -> Column:
     """Up to six short terms of the last answer that the previous question did not use."""
-    short = lambda arr: F.filter(arr, lambda t: F.length(t).between(2, 8))
-    seen = meaningful_tokens(previous_question)
-    answer_terms = meaningful_tokens(answer)
-    pool = F.concat(
-        short(F.regexp_extract_all(answer, F.lit(lx.TECHNICAL_ENTITY), F.lit(0))),
-        short(F.regexp_extract_all(answer, F.lit(lx.CHINESE_ENTITY), F.lit(0))),
-        answer_terms,
-    )
-    kept = F.array_distinct(
-        F.filter(
+
+    def short(pattern: str) -> Column:
+        return F.filter(
+            F.regexp_extract_all(answer, F.lit(pattern), F.lit(0)), lambda t: F.length(t).between(2, 8)
+        )
+
+    def pick(s: Column) -> Column:
+        pool = F.array_distinct(F.concat(short(lx.TECHNICAL_ENTITY), short(lx.CHINESE_ENTITY), s["terms"]))
+        kept = F.filter(
             pool,
-            lambda t: ~is_supplemental(t) & ~is_expansion_only(t) & ~F.array_contains(seen, t) & (F.length(t) <= 8),
+            lambda t: (F.length(t) <= 8)
+            & ~F.array_contains(s["seen"], t)
+            & ~is_supplemental(t)
+            & ~is_expansion_only(t),
+        )
+        return F.when(F.size(s["terms"]) == 0, F.array().cast("array<string>")).otherwise(
+            F.slice(order_terms(kept), 1, 6)
         )
+
+    # evaluated once per row, not once per candidate term
+    return let(
+        F.struct(
+            meaningful_tokens(answer).alias("terms"), meaningful_tokens(previous_question).alias("seen")
+        ),
+        pick,
     )
-    picked = F.slice(order_terms(kept), 1, 6)
-    return F.when(
-        is_blank(answer) | (F.size(answer_terms) == 0), F.array().cast("array<string>")
-    ).otherwise(picked)
 
 
 def order_terms(terms: Column) -> Column:
