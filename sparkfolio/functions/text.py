@@ -139,10 +139,9 @@ def is_relevance_expansion_only(t: Column) -> Column:
 
 
 def is_supplemental(t: Column) -> Column:
-    return reduce(
-        or_,
-        [t.contains(s) | F.contains(F.lit(s), t) for s in lx.SUPPLEMENTAL_REQUEST_SIGNALS],
-    )
+    """The term holds a request for more detail, or is part of one (terms hold no bar)."""
+    asks = lx.SUPPLEMENTAL_REQUEST_SIGNALS
+    return t.rlike("|".join(asks)) | F.contains(F.lit("|".join(asks)), t)
 
 
 def is_meaningful(t: Column) -> Column:

@@ -95,6 +95,6 @@ def boost_by_intent(ranked: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("_before"))
     return (
-        boosted.withColumns({"score": F.col("score") + F.col("boost"), "_before": F.col("rank")})
+        boosted.withColumns({"score": F.round(F.col("score") + F.col("boost"), 9), "_before": F.col("rank")})
         .withColumn("rank", F.row_number().over(order)).drop("_several", "_before")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import text as tx
+from sparkfolio.operators.lineage import cut
 
 ANCHOR = 16
 PREFER_JSON_INTENTS = (
@@ -84,12 +85,14 @@ def title_scores(targets: DataFrame, files: DataFrame) -> DataFrame:
         F.length("want") > 0
     )
     names = F.array(F.col("document_title"), tx.file_stem(F.col("file_path")), F.col("file_path"))
-    c = (
+    # read four times below: written once instead of scanned and normalised four times
+    c = cut(
         files.select("file_path", "document_title").distinct()
         .select("file_path", F.explode(names).alias("title"))
         .select("file_path", tx.lookup_norm(F.col("title")).alias("have"))
         .filter(F.length("have") > 0).distinct()
     )
+    t = cut(t)
     wants = t.select("want").distinct()
     equal = wants.join(c, F.col("want") == F.col("have")).select("want", "file_path", F.lit(6).alias("score"))
     inside = [
@@ -108,7 +111,7 @@ def title_scores(targets: DataFrame, files: DataFrame) -> DataFrame:
 
 def title_match(targets: DataFrame, files: DataFrame) -> DataFrame:
     """All files that reach a query's best score; queries that match nothing have no row."""
-    scored = title_scores(targets, files)
+    scored = cut(title_scores(targets, files))
     best = scored.groupBy("query_id").agg(F.max("score").alias("score"))
     return scored.join(best, ["query_id", "score"]).select("query_id", "file_path", "score")
 

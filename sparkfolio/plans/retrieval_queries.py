@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
 from sparkfolio.operators import context, rerank, titles
+from sparkfolio.operators.lineage import cut
 from sparkfolio.plans import derived, retrieve
 from sparkfolio.plans import sqlquestion as sqq
 from sparkfolio.plans import sqltext as sq
@@ -168,8 +169,8 @@ BOOSTED = f"""{MERGED},
              FROM merged m JOIN ich c USING (file_path, idx) JOIN pr p ON p.query_id = m.query_id),
     bst AS (SELECT *, CASE WHEN intent IN ('definition','compare','procedure','summary') AND n > 1 THEN {BOOST} ELSE 0 END AS boost
             FROM wide),
-    ranked AS (SELECT *, base + boost AS score,
-        row_number() OVER (PARTITION BY query_id ORDER BY base + boost DESC, before) AS rank FROM bst)"""
+    ranked AS (SELECT *, round(base + boost, 9) AS score,
+        row_number() OVER (PARTITION BY query_id ORDER BY round(base + boost, 9) DESC, before) AS rank FROM bst)"""
 
 _KEPT = (
     f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {sq.clean_sentence('x')}), lambda s: length(s) > 0 "
@@ -223,17 +224,20 @@ SELECTED = f"""{BOOSTED},
 
 def pipeline(spark: SparkSession, sf_dir: str, reranked: bool = True) -> retrieve.Retrieval:
     chunks, questions = indexed_chunks(spark, sf_dir), label_questions(spark, sf_dir)
-    plain = retrieve.retrieve(chunks, questions)
+    # the relevance stand-in is a function of the vector order, so that order is made first
+    plain = retrieve.candidates_only(chunks, questions)
     if not reranked:
         return plain
     merged = rerank.merge_scores(plain.candidates, relevance(plain.candidates))
-    ranked = rerank.boost_by_intent(merged.join(plain.profiles.select("query_id", *retrieve.PROFILE), "query_id"))
+    ranked = cut(
+        rerank.boost_by_intent(merged.join(plain.profiles.select("query_id", *retrieve.PROFILE), "query_id"))
+    )
     return retrieve.Retrieval(plain.profiles, plain.scope, plain.candidates, ranked, context.select_context(ranked))
 
 
 @query("title_scope", f"WITH {BASE} SELECT query_id, file_path FROM scope")
 def title_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = retrieve.profile(label_questions(spark, sf_dir).drop("embedding"))
+    p = cut(retrieve.profile(label_questions(spark, sf_dir).drop("embedding")))
     return retrieve.resolve_scope(p, derived.chunks(spark, sf_dir)).select("query_id", "file_path")
 
 

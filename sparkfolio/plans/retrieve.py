@@ -11,6 +11,7 @@ from sparkfolio import lexicon as lx
 from sparkfolio.functions import question as qn
 from sparkfolio.functions import text as tx
 from sparkfolio.operators import context, rerank, titles, vectors
+from sparkfolio.operators.lineage import cut
 
 KEYS = ["file_path", "idx"]
 PROFILE = [
@@ -47,13 +48,33 @@ def resolve_scope(profiles: DataFrame, chunks: DataFrame, remembered: DataFrame
         asks = profiles.filter(qn.uses_active_scope(F.col("question"), F.col("requested_title")))
         kept = remembered.join(asks.select("query_id"), "query_id", "left_semi")
         named = named.unionByName(kept.select("query_id", "file_path"))
-    return titles.apply_format_preference(named, profiles)
+    return titles.apply_format_preference(cut(named), profiles)
 
 
 def pool_size(requested: int = lx.CANDIDATE_POOL) -> int:
     return min(100, max(50, requested))
 
 
+def candidates_only(
+    chunks: DataFrame, questions: DataFrame, remembered: DataFrame | None = None, pool: int = lx.CANDIDATE_POOL
+) -> Retrieval:
+    """Profiles, scope and the vector candidates; ranked and context are still empty of work."""
+    k = pool_size(pool)
+    # profiles, scope and candidates are small (rows per question) and feed many steps
+    profiles = cut(profile(questions))
+    scope = cut(resolve_scope(profiles, chunks, remembered))
+    limited = scope.select("query_id").distinct()
+    vectors_of = profiles.select("query_id", "embedding")
+    free = vectors_of.join(limited, "query_id", "left_anti")
+    top = vectors.cosine_topk(chunks, free, KEYS, k)
+    if not scope.isEmpty():
+        held = vectors_of.join(limited, "query_id", "left_semi")
+        top = top.unionByName(vectors.scoped_topk(chunks, held, scope, KEYS, k))
+    # ids first, chunk columns only for the rows that made the pool
+    candidates = cut(cut(top).join(chunks.drop("embedding"), KEYS))
+    return Retrieval(profiles, scope, candidates, candidates, candidates)
+
+
 def retrieve(
     chunks: DataFrame, questions: DataFrame, rerank_scores: DataFrame | None = None,
     remembered: DataFrame | None = None, pool: int = lx.CANDIDATE_POOL,
@@ -63,24 +84,13 @@ def retrieve(
     ``chunks``: chunk columns plus embedding, unique by (file_path, idx). ``rerank_scores``:
     query_id, cand_idx, relevance; without it the vector order is kept.
     """
-    k = pool_size(pool)
-    profiles = profile(questions)
-    scope = resolve_scope(profiles, chunks, remembered)
-    limited = scope.select("query_id").distinct()
-    vectors_of = questions.select("query_id", "embedding")
-    free = vectors_of.join(limited, "query_id", "left_anti")
-    top = vectors.cosine_topk(chunks, free, KEYS, k).unionByName(
-        vectors.scoped_topk(chunks, vectors_of.join(limited, "query_id", "left_semi"), scope, KEYS, k)
-    )
-    # ids first, chunk columns only for the rows that made the pool
-    details = chunks.drop("embedding")
-    candidates = top.join(details, KEYS)
+    found = candidates_only(chunks, questions, remembered, pool)
     if rerank_scores is None:
-        merged = candidates.withColumns({"rerank_status": F.lit("disabled"), "reranked": F.lit(False)})
+        merged = found.candidates.withColumns({"rerank_status": F.lit("disabled"), "reranked": F.lit(False)})
     else:
-        merged = rerank.merge_scores(candidates, rerank_scores)
-    ranked = rerank.boost_by_intent(merged.join(profiles.select("query_id", *PROFILE), "query_id"))
-    return Retrieval(profiles, scope, candidates, ranked, context.select_context(ranked))
+        merged = rerank.merge_scores(found.candidates, rerank_scores)
+    ranked = cut(rerank.boost_by_intent(merged.join(found.profiles.select("query_id", *PROFILE), "query_id")))
+    return Retrieval(found.profiles, found.scope, found.candidates, ranked, context.select_context(ranked))
 
 
 def answerable(ranked: DataFrame, minimum: float = lx.MIN_SCORE) -> DataFrame:
