@@ -51,13 +51,15 @@ def answers(spark: SparkSession, sf_dir: str, rule: str = ANSWER) -> DataFrame:
 CIT_CTE = f"cit AS (SELECT doc_id, idx + 1 AS n, {sq.citation()} AS citation FROM chunks)"
 
 
-@query("citation_expand", f"""
-    WITH {derived.CHUNKS_CTE}, {CIT_CTE}, a AS (SELECT doc_id, {ANSWER_SQL} AS answer FROM documents),
-    mk AS (SELECT doc_id, answer, '[c' || (doc_id % 7 + 1) || ']' AS m1, '[C02]' AS m2, '[c' || (doc_id % 40) || ']' AS m3 FROM a)
-    SELECT mk.doc_id AS query_id,
+EXPANDED_CTE = f"""{derived.CHUNKS_CTE}, {CIT_CTE}, a AS (SELECT doc_id, {ANSWER_SQL} AS answer FROM documents),
+    mk AS (SELECT doc_id, answer, '[c' || (doc_id % 7 + 1) || ']' AS m1, '[C02]' AS m2, '[c' || (doc_id % 40) || ']' AS m3 FROM a),
+    ex AS (SELECT mk.doc_id AS query_id,
       replace(replace(replace(answer, m1, coalesce(c1.citation, m1)), m2, coalesce(c2.citation, m2)), m3, coalesce(c3.citation, m3)) AS answer
     FROM mk LEFT JOIN cit c1 ON c1.doc_id = mk.doc_id AND c1.n = mk.doc_id % 7 + 1
-      LEFT JOIN cit c2 ON c2.doc_id = mk.doc_id AND c2.n = 2 LEFT JOIN cit c3 ON c3.doc_id = mk.doc_id AND c3.n = mk.doc_id % 40""")
+      LEFT JOIN cit c2 ON c2.doc_id = mk.doc_id AND c2.n = 2 LEFT JOIN cit c3 ON c3.doc_id = mk.doc_id AND c3.n = mk.doc_id % 40)"""
+
+
+@query("citation_expand", f"WITH {EXPANDED_CTE} SELECT query_id, answer FROM ex")
 def citation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = an.citation_map(contexts(spark, sf_dir), "query_id")
     a = answers(spark, sf_dir).join(maps, "query_id")
