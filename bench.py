@@ -40,6 +40,7 @@ def main() -> None:
             took = time.perf_counter() - start
             best = took if best is None else min(best, took)
         times[name] = round(best, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(SF.rstrip("/"))}))
 

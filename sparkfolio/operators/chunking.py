@@ -399,7 +399,6 @@ def json_chunks(
     packed = parsed.select(
         "source", "file_path", F.col("_j.title").alias("document_title"), pack_leaves(F.col("_j.leaves"), size).alias("b")
     )
-    kind_of = lambda b: F.when(b["mode"] == "root", "body").otherwise(ck.json_kind(b["leaf"], b["path"]))
 
     def cut(b: Column) -> Column:
         text = tx.trimmed(b["text"])
@@ -407,17 +406,19 @@ def json_chunks(
         return F.transform(
             F.filter(pieces, lambda t: F.length(t) > 0),
             lambda t: F.struct(
-                t.alias("text"), b["section"].alias("section"), b["path"].alias("path"), kind_of(b).alias("kind")
+                t.alias("text"), b["section"].alias("section"), b["path"].alias("path"), b["leaf"].alias("leaf"),
+                b["mode"].alias("mode"),
             ),
         )
 
     rows = packed.select(
         "source", "file_path", "document_title", F.posexplode(F.flatten(F.transform("b", cut))).alias("idx", "c")
-    )
-    return rows.select(
-        "source", "file_path", "idx", F.col("c.text").alias("text"), "document_title",
-        F.col("c.section").alias("section_title"), F.col("c.path").alias("structure_path"),
-        ck.normalized_kind(F.col("c.kind"), F.col("c.section"), F.col("c.path"), F.col("c.text")).alias("content_kind"),
+    ).select("source", "file_path", "document_title", "idx", "c.*")
+    proposed = F.when(F.col("mode") == "root", "body").otherwise(ck.json_kind(F.col("leaf"), F.col("path")))
+    return rows.withColumn("_kind", proposed).select(
+        "source", "file_path", "idx", "text", "document_title", F.col("section").alias("section_title"),
+        F.col("path").alias("structure_path"),
+        ck.normalized_kind(F.col("_kind"), F.col("section"), F.col("path"), F.col("text")).alias("content_kind"),
     )
 
 

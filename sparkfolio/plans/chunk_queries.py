@@ -89,23 +89,23 @@ def md_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their line items as nested JSON documents."""
-    o = table(spark, sf_dir, "orders")
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(
-            F.collect_list(F.struct("l_linenumber", "l_returnflag", F.col("l_quantity").alias("number"), "l_linestatus"))
-        ).alias("items")
+    """Parts as nested JSON documents: scalars, a priority field, arrays of scalars and of objects, a reference list."""
+    p = spread(table(spark, sf_dir, "part"))
+    item = lambda n, label: F.struct(
+        F.concat(F.lit(f"{n}."), "p_size").alias("number"), F.concat(F.lit(label), "p_name").alias("module"), "p_retailprice"
     )
     doc = F.to_json(
         F.struct(
-            F.concat(F.lit("order "), F.col("o_orderkey")).alias("title"), "o_orderstatus", "o_totalprice",
-            F.struct("o_orderpriority", F.array(F.lit("a"), F.col("o_orderstatus")).alias("tags")).alias("architecture"),
-            "items", F.struct(F.lit("x").alias("y")).alias("references"),
+            F.concat("p_brand", F.lit(" "), "p_partkey").alias("title"), "p_type", "p_size", "p_retailprice",
+            F.concat(F.lit("用于"), "p_name", F.lit("的控制")).alias("abstract"),
+            F.struct("p_brand", F.array("p_name", "p_type", F.repeat("p_name", F.col("p_size") + 1)).alias("tags")).alias("architecture"),
+            F.array(item(1, "采集 "), item(2, "控制 ")).alias("modules"),
+            F.array(F.lit("x"), F.col("p_brand")).alias("references"), F.lit("10.1/x").alias("doi"),
         )
     )
-    return o.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        F.concat(F.lit("orders/"), "o_orderkey", F.lit(".json")).alias("file_path"),
-        F.concat("o_orderkey", F.lit(".json")).alias("source"), doc.alias("content"),
+    return p.select(
+        F.concat(F.lit("parts/"), "p_partkey", F.lit(".json")).alias("file_path"),
+        F.concat("p_partkey", F.lit(".json")).alias("source"), doc.alias("content"),
     )
 
 
