@@ -92,7 +92,11 @@ def document_title(sanitized: Column, name: Column) -> Column:
 
 def window_parts(c: Column, size: int = lx.CHUNK_SIZE, overlap: int = lx.CHUNK_OVERLAP) -> Column:
     """Overlapping windows; a window ends at its last 。！？ or line break when that lies past its middle."""
-    total = F.length(c)
+    # bound once: the fold must not evaluate the text expression in every step
+    return tx.let(F.struct(c.alias("s"), F.length(c).alias("n")), lambda v: _windows(v["s"], v["n"], size, overlap))
+
+
+def _windows(c: Column, total: Column, size: int, overlap: int) -> Column:
     step = max(1, size // 2 + 1 - overlap)
     start = F.struct(
         F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast(STRINGS).alias("parts")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkfolio import lexicon as lx
 from sparkfolio.functions import chunks as ck
 from sparkfolio.functions import text as tx
+from sparkfolio.operators.lineage import cut
 
 
 def term_frequency(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -39,20 +40,19 @@ def _occurrences(tokens: str, word: str) -> Column:
 def bm25_topk(df: DataFrame, key: str, query_tokens: list[str], k: int, text: str = "text") -> DataFrame:
     """Best ``k`` rows for one token list; a repeated query token counts again.
 
-    Each document is reduced to its length and the counts of the query tokens before
-    anything moves, so the shuffle carries a few numbers per document. The same
-    exchange feeds the one-row statistics and the scoring.
+    Each document is reduced to its length and the counts of the query tokens. These few
+    numbers per document are written once; the one-row statistics and the scoring both read
+    them, so every text is tokenised a single time and no text is ever shuffled.
     """
     distinct = list(dict.fromkeys(query_tokens))
     toks = F.filter(F.col("_t"), lambda t: t.isin(*distinct))
-    narrow = (
+    narrow = cut(
         df.select(key, tx.tokens(F.col(text)).alias("_t"))
         .select(key, F.size("_t").alias("n"), toks.alias("_h"))
         .select(
             key, "n",
             *[_occurrences("_h", w).alias(f"tf{i}") for i, w in enumerate(distinct)],
         )
-        .repartition(key)
     )
     stats = narrow.agg(
         F.count(key).alias("total"),
