@@ -16,6 +16,7 @@ from sparkfolio import lexicon as lx
 from sparkfolio.functions import chunks as ck
 from sparkfolio.functions import question as qn
 from sparkfolio.functions import text as tx
+from sparkfolio.operators.lineage import cut
 
 C = ck.Chunk()
 
@@ -499,6 +500,7 @@ def fallback_answers(context: DataFrame) -> DataFrame:
         "summary": summary_answer, "metadata": metadata_answer, "procedure": procedure_answer,
         "compare": compare_answer, "composition": composition_answer, "explain": explain_answer,
     }
+    context = cut(context)  # at most a window of rows per question, read by every builder
     made = [fn(context.filter(F.col("intent") == name)) for name, fn in builders.items()]
     return reduce(lambda a, b: a.unionByName(b), made).filter("answer IS NOT NULL")
 

@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from sparkfolio.functions import text as tx
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Supported files under ``root`` with their whole text; ignored prefixes are left out.
+def named_files(files: DataFrame, root: str) -> DataFrame:
+    """(file_path, content) of the supported files of a text read; ignored prefixes are left out.
 
-    Names are filtered before any content is read. Sorting is left to the caller.
+    Names are judged on file metadata, before any content is used.
     """
-    files = (
-        spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-        .load(root).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
-    )
     base = root.rstrip("/") + "/"
-    path = F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B")))
-    relative = F.substring_index(path, base, -1)
-    return files.select(relative.alias("file_path"), "content").filter(
-        tx.is_supported(F.col("file_path")) & ~tx.is_ignored(F.col("file_path"))
-    )
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    named = files.select(F.substring_index(path, base, -1).alias("file_path"), F.col("value").alias("content"))
+    return named.filter(tx.is_supported(F.col("file_path")) & ~tx.is_ignored(F.col("file_path")))
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """Supported files under ``root`` with their whole text. Sorting is left to the caller."""
+    reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+    return named_files(reader.load(root), root)
 
 
 def without_excluded(files: DataFrame, tombstones: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from sparkfolio.functions import chunks as ck
 from sparkfolio.functions import question as qn
 from sparkfolio.functions import text as tx
 from sparkfolio.operators import answers as an
+from sparkfolio.operators.lineage import cut
 
 COLS = ("query_id string, file_path string, idx int, text string, document_title string, section_title string, "
         "structure_path string, content_kind string, context_pos int, question string")
@@ -17,7 +18,7 @@ CHUNKS = [
 
 def context(spark, question):
     rows = [(*r, n + 1, question) for n, r in enumerate(CHUNKS)]
-    return qn.with_profile(spark.createDataFrame(rows, COLS))
+    return cut(qn.with_profile(spark.createDataFrame(rows, COLS)))
 
 
 def test_citations(spark):
@@ -37,9 +38,9 @@ def test_summary_answer(spark):
 
 
 def test_procedure_and_explain_answers(spark):
-    text = an.fallback_answers(context(spark, "系统如何控制？")).first()["answer"]
+    text = an.procedure_answer(context(spark, "系统如何控制？")).first()["answer"]
     assert text.split("\n")[0].startswith("[json/example.json |") and "- 输入/前提：" in text
-    assert "- 作用机制：" in an.fallback_answers(context(spark, "为什么需要动态调节")).first()["answer"]
+    assert "- 作用机制：" in an.explain_answer(context(spark, "为什么需要动态调节")).first()["answer"]
 
 
 def test_boost_prefers_structured_procedure_chunk(spark):
