@@ -395,13 +395,13 @@ def json_chunks(
     Text that is not JSON raises, or is left out with ``on_error='quarantine'``.
     """
     parsed = docs.withColumn("_j", json_leaves(F.col("content"), tx.file_stem(F.col("source")), size))
+    # no filter on the parse result: it would be pushed below the scan's consumers and parse twice
+    leaves = F.col("_j.leaves")
     if on_error == "raise":
         bad = F.raise_error(F.concat(F.lit("not a JSON document: "), F.col("file_path")))
-        parsed = parsed.filter(F.when(F.col("_j.ok"), F.lit(True)).otherwise(bad.cast("boolean")))
-    else:
-        parsed = parsed.filter("_j.ok")
+        leaves = F.when(F.col("_j.ok"), leaves).otherwise(bad.cast(LEAVES))
     packed = parsed.select(
-        "source", "file_path", F.col("_j.title").alias("document_title"), pack_leaves(F.col("_j.leaves"), size).alias("b")
+        "source", "file_path", F.col("_j.title").alias("document_title"), pack_leaves(leaves, size).alias("b")
     )
 
     def cut(b: Column) -> Column:
