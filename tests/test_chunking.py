@@ -95,3 +95,13 @@ def test_json_chunks(spark):
     ]
     bad = spark.createDataFrame([("b.json", "x/b.json", "{oops")], "source string, file_path string, content string")
     assert cg.json_chunks(bad, on_error="quarantine").count() == 0
+
+
+def test_json_that_is_not_json_raises(spark):
+    bad = spark.createDataFrame([("b.json", "x/b.json", "{oops")], "source string, file_path string, content string")
+    try:
+        cg.json_chunks(bad).collect()
+    except Exception as e:  # noqa: BLE001
+        assert "not a JSON document: x/b.json" in str(e)
+    else:
+        raise AssertionError("text that is not JSON was accepted")
