@@ -3,10 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-ORACLE_SQL = None
+from sparkfolio.llm import decontaminate, jaccard, line_dedup, packing, quality
+from sparkfolio.llm.common import stored, table
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents which the classifier doesn't reject."""
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of many documents stay in one; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group which similar five-word shingle sets link."""
+    grouped = jaccard.jaccard_components(docs, width=5, num=80, den=100)
+    gone = grouped.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    held = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", good), ("lines", new_lines), ("near_duplicates", distinct), ("benchmark", clean), ("packing", packed)]
+ORACLE_SQL = None  # the classifier and the tokenizer are beyond SQL; tests/llm holds run() against a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each one's rows written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.operators.lineage import cut
+from sparkfolio.operators.lineage import cut, ensure_checkpoint_dir
 
-__all__ = ["SPACE", "ascii_lower", "carry", "cut", "pieces_of", "restore", "table"]
+__all__ = ["SPACE", "ascii_lower", "carry", "cut", "pieces_of", "restore", "stored", "table"]
 
 SPACE = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,3 +44,12 @@ def ascii_lower(text: Column) -> Column:
 def pieces_of(rows: int, size: int) -> int:
     """How many parts of about ``size`` rows there are."""
     return max(1, math.ceil(rows / size))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the folder which all executors share, and read from there."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import jaccard, line_dedup, packing
+from sparkfolio.llm import decontaminate, html_extract, jaccard, licenses, line_dedup, packing, quality, topk
 from sparkfolio.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,79 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+WORDS_SQL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+SHINGLES_SQL = "CASE WHEN len({w}) = 0 THEN [] WHEN len({w}) <= 5 THEN [array_to_string({w}, ' ')] ELSE [array_to_string({w}[i:i+4], ' ') for i in range(1, len({w}) - 3)] END"
+
+OP4_SQL = rf"""
+WITH i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+it AS (SELECT item_id, len(w) AS n, {SHINGLES_SQL.format(w='w')} AS sh FROM i WHERE len(w) > 0),
+df AS (SELECT s, 1 + ln((SELECT count(*) FROM it) / count(*)) AS wt FROM (SELECT DISTINCT item_id, unnest(sh) AS s FROM it) GROUP BY s),
+iw AS (SELECT item_id, sum(wt) AS iw FROM (SELECT DISTINCT item_id, unnest(sh) AS s FROM it) JOIN df USING (s) GROUP BY item_id),
+d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS words, unnest(range(1, len(w) - 3)) AS pos, w FROM d WHERE len(w) >= 5),
+h AS (SELECT DISTINCT p.doc_id, x.item_id, x.n, greatest(0, least(greatest(0, p.pos - x.off), p.words - x.n)) AS start
+      FROM p JOIN (SELECT item_id, n, unnest(sh) AS s, generate_subscripts(sh, 1) AS off FROM it) x ON x.s = array_to_string(p.w[p.pos:p.pos+4], ' ')),
+g AS (SELECT h.*, d.w[start+1:start+n] AS w FROM h JOIN d USING (doc_id)),
+gs AS (SELECT DISTINCT doc_id, item_id, n, start, unnest({SHINGLES_SQL.format(w='w')}) AS s FROM g),
+sc AS (SELECT gs.doc_id, gs.item_id, gs.n, gs.start,
+              2 * sum(CASE WHEN list_contains(it.sh, gs.s) THEN df.wt ELSE 0 END) / (sum(coalesce(df.wt, 1 + ln((SELECT count(*) FROM it)))) + any_value(iw.iw)) AS similarity
+       FROM gs JOIN it USING (item_id) JOIN iw USING (item_id) LEFT JOIN df ON df.s = gs.s GROUP BY gs.doc_id, gs.item_id, gs.n, gs.start)
+SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(n AS INT) AS n_words, similarity FROM sc WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+
+@query("op4_benchmark_decontamination", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+NOTICES_SQL = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in licenses.TEMPLATES)
+OP5_SQL = rf"""
+WITH t0(license, text) AS (VALUES {NOTICES_SQL}),
+t AS (SELECT license, row_number() OVER () AS no, {WORDS_SQL} AS w FROM t0),
+it AS (SELECT license, no, len(w) AS n, least(len(w), 5) AS wide, {SHINGLES_SQL.format(w='w')} AS sh FROM t),
+d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS words, unnest(range(1, len(w) - 3)) AS pos, w FROM d WHERE len(w) >= 5),
+h AS (SELECT DISTINCT p.doc_id, x.n, greatest(0, least(greatest(0, p.pos - x.off), p.words - x.n)) AS start
+      FROM p JOIN (SELECT n, unnest(sh) AS s, generate_subscripts(sh, 1) AS off FROM it) x ON x.s = array_to_string(p.w[p.pos:p.pos+4], ' ')),
+g AS (SELECT h.*, d.w[start+1:start+n] AS w FROM h JOIN d USING (doc_id)),
+gs AS (SELECT doc_id, n, start, list_distinct({SHINGLES_SQL.format(w='w')}) AS own FROM g),
+sc AS (SELECT gs.doc_id, it.license, gs.n, gs.start, len(list_intersect(gs.own, it.sh)) / len(list_distinct(it.sh)) AS containment FROM gs JOIN it ON it.n = gs.n),
+ok AS (SELECT *, count(DISTINCT start) OVER (PARTITION BY doc_id, license) AS n_places FROM sc WHERE containment >= 0.8)
+SELECT doc_id, license, CAST(start AS INT) AS start, CAST(n AS INT) AS n_words, containment, n_places FROM ok
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start, n DESC) = 1
+"""
+
+
+@query("op5_license_scan", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.templates(spark))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+QUALIFY rank <= 10
+"""
+
+
+@query("op3_exact_top_k", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
