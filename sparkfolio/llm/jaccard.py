@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
-from sparkfolio.llm.common import LOWER, UPPER, cut
+from sparkfolio.llm.common import LOWER, UPPER, cut, stored
 from sparkfolio.llm.components import connect
 
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -206,10 +206,49 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        body = [zlib.compress(b" ".join(t.translate(TO_LOWER).split()), 1) for t in _texts(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(body, pa.binary())], names=["node", "body"])
+def odd_sketch(items: np.ndarray) -> bytes:
+    """A bit for each of m places, set where an odd number of elements fall; m is 4 to 8 times the number of elements.
+
+    The sketches of two sets differ in no more bits than the sets in elements. Half as many places are the two halves' xor.
+    """
+    places = max(64, 4 << (len(items) - 1).bit_length())
+    at = (mix(items ^ np.uint64(ODD)) & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differ(one: bytes, two: bytes) -> int:
+    """At least so many elements are in one set alone, by their odd sketches."""
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _bodies(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [t.translate(TO_LOWER).split() for t in _texts(batch.column("text"))]
+            sketch = [odd_sketch(shingle_set(w, width)) for w in words]
+            body = [zlib.compress(b" ".join(w), 1) for w in words]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(sketch, pa.binary()), pa.array(body, pa.binary())], names=["node", "sketch", "body"])
+
+    return run
+
+
+def _may_link(num: int, den: int):
+    """Pairs whose sketches do not rule out the similarity: sound, for sketches never differ too much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (den - num) // (den + num)
+            rows = zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), most.tolist(), strict=True)
+            keep = pa.array([_differ(x, y) <= m for x, y, m in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
 
 
 def _verify(width: int, num: int, den: int):
@@ -256,7 +295,8 @@ def similar_sets(
 
     Plan: equal sets fold into one node before anything else. One shuffle brings equal signatures together, sorted on disk
     where need be. Buckets with the same nodes count once. In a bucket, nodes which meet many others come first; a round
-    tests the next 1, 2, 4, ... of them against the rest. When only connections are asked for, pairs within one component
+    tests the next 1, 4, 16, ... of them against the rest, by small sketches which rule out most pairs below the
+    similarity and none above it, then by the texts. When only connections are asked for, pairs within one component
     are skipped, so a large group of near copies costs about a test per member, not one per pair. Texts travel compressed,
     those of candidates only.
     """
@@ -271,25 +311,29 @@ def similar_sets(
     known = cut(weight.join(nodes, "node"))
     by_rank = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "node")
     ranked = cut(members.join(known.select("node", "weight", "n"), "node").select("bucket", "node", "n", (F.row_number().over(by_rank) - 1).alias("rank")))
-    bodies = cut(_with_node(docs, doc_id, text, known).mapInArrow(_bodies, "node bigint, body binary"))
+    bodies = stored(_with_node(docs, doc_id, text, known).mapInArrow(_bodies(width), "node bigint, sketch binary, body binary"), "bodies")
     labels = known.select("node", F.col("node").alias("label"))
     tested, links, low = None, None, 0
     while ranked.take(1):
-        high = 2 * low + 1
+        high = 4 * low + 1
         placed = ranked.join(labels, "node") if spanning else ranked.withColumn("label", F.col("node"))
         left = placed.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
             "bucket", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("rank").alias("p_rank"), F.col("label").alias("p_label"))
         pairs = left.join(placed, "bucket").where(
             (F.col("rank") > F.col("p_rank")) & (F.col("label") != F.col("p_label"))
             & (den * F.least("n", "p_n") >= num * F.greatest("n", "p_n")))
-        pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        first = F.col("node") < F.col("p")
+        pairs = pairs.select(
+            F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"), F.when(first, F.col("n")).otherwise(F.col("p_n")).alias("n_a"),
+            F.when(first, F.col("p_n")).otherwise(F.col("n")).alias("n_b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        with_a = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
-        with_both = with_a.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
-        new = cut(with_both.select("a", "b", "body_a", "body_b").mapInArrow(_verify(width, num, den), "a bigint, b bigint"))
+        sketched = _with_both(pairs, bodies, "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        likely = cut(sketched.mapInArrow(_may_link(num, den), "a bigint, b bigint"))
+        new = cut(_with_both(likely, bodies, "body").select("a", "b", "body_a", "body_b").mapInArrow(_verify(width, num, den), "a bigint, b bigint"))
+        pairs = pairs.select("a", "b")
         tested = pairs if tested is None else tested.unionAll(pairs)
         links = new if links is None else links.unionAll(new)
-        if spanning:
+        if spanning and new.take(1):
             labels = cut(_relabel(labels, new))
         low = high
         beyond = ranked.where(F.col("rank") >= low)
@@ -303,6 +347,13 @@ def similar_sets(
     return sets, links, labels
 
 
+def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """Pairs with a column of either node."""
+    for side in "ab":
+        pairs = pairs.join(of.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs
+
+
 def _with_node(docs: DataFrame, doc_id: str, text: str, known: DataFrame) -> DataFrame:
     """The text of one document of each candidate node; texts move only if the candidates are too many to broadcast."""
     wanted = known.select("of", "node")
