@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import decontaminate, html_extract, jaccard, licenses, line_dedup, packing, pseudonyms, quality, topk
+from sparkfolio.llm import decontaminate, html_extract, jaccard, licenses, line_dedup, packing, passages, pseudonyms, quality, topk
 from sparkfolio.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, "a key kept with the corpus").select("doc_id", "text", "n_replaced")
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
