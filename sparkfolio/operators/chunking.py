@@ -92,11 +92,13 @@ def document_title(sanitized: Column, name: Column) -> Column:
 
 def window_parts(c: Column, size: int = lx.CHUNK_SIZE, overlap: int = lx.CHUNK_OVERLAP) -> Column:
     """Overlapping windows; a window ends at its last 。！？ or line break when that lies past its middle."""
-    # bound once: the fold must not evaluate the text expression in every step
-    return tx.let(F.struct(c.alias("s"), F.length(c).alias("n")), lambda v: _windows(v["s"], v["n"], size, overlap))
+    # bound once: the fold must not evaluate the text expression in every step. A step looks at two pieces of the
+    # text, each one window long, so its cost does not grow with the position.
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return tx.let(F.struct(pieces.alias("s"), F.length(c).alias("n")), lambda v: _windows(v["s"], v["n"], size, overlap))
 
 
-def _windows(c: Column, total: Column, size: int, overlap: int) -> Column:
+def _windows(pieces: Column, total: Column, size: int, overlap: int) -> Column:
     step = max(1, size // 2 + 1 - overlap)
     start = F.struct(
         F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast(STRINGS).alias("parts")
@@ -105,11 +107,18 @@ def _windows(c: Column, total: Column, size: int, overlap: int) -> Column:
     def cut(acc: Column, _: Column) -> Column:
         at = acc["at"]
         more = (at + size) < total
-        upto = F.length(F.regexp_extract(F.substr(c, at + 1, F.lit(size)), "(?s)^.*[。！？\\n]", 0))
-        end = F.when(more & (upto - 1 > size // 2), at + upto).when(more, at + size).otherwise(total)
-
-        def place(e: Column) -> Column:
-            part = tx.trimmed(F.substr(c, at + 1, e - at))
+        nth = F.floor(at / size).cast("int") + 1
+        both = F.concat(F.try_element_at(pieces, nth), F.coalesce(F.try_element_at(pieces, nth + 1), F.lit("")))
+        view = F.substr(both, at % size + 1, F.lit(size))
+
+        def found(seen: Column) -> Column:
+            upto = F.length(F.regexp_extract(seen, "(?s)^.*[。！？\\n]", 0))
+            e = F.when(more & (upto - 1 > size // 2), at + upto).when(more, at + size).otherwise(total)
+            return tx.let(F.struct(e.alias("e"), seen.alias("seen")), place)
+
+        def place(v: Column) -> Column:
+            e = v["e"]
+            part = tx.trimmed(F.substr(v["seen"], F.lit(1), e - at))
             back = F.greatest(F.lit(0), e - overlap)
             return F.struct(
                 F.when(back > at, back).otherwise(e).alias("at"),
@@ -117,7 +126,7 @@ def _windows(c: Column, total: Column, size: int, overlap: int) -> Column:
                 F.when(F.length(part) > 0, F.array_append(acc["parts"], part)).otherwise(acc["parts"]).alias("parts"),
             )
 
-        return F.when(acc["done"], acc).otherwise(tx.let(end, place))
+        return F.when(acc["done"], acc).otherwise(tx.let(view, found))
 
     steps = F.sequence(F.lit(0), F.ceil(total / step).cast("int"))
     return F.aggregate(steps, start, cut, lambda acc: acc["parts"])
@@ -437,22 +446,60 @@ def document_chunks(files: DataFrame, size: int = lx.CHUNK_SIZE, overlap: int =
 
 # ---------------------------------------------------------------- embedding input
 
-def shorten_for_embedding(c: Column, tokens_of, limit: int = lx.MAX_EMBEDDING_TOKENS, rounds: int = 64) -> Column:
-    """Shrink text until ``tokens_of(text)`` fits: drop the last paragraph, else the last sentence, else a quarter."""
-    text = tx.trimmed(F.replace(c, F.lit("\r\n"), F.lit("\n")))
+def _longest_prefix(parts: Column, between: str, before: Column, tokens_of, limit: int) -> Column:
+    """Of ``parts``, the text and count of the longest proper prefix of two or more whose tokens fit, by halving.
 
-    def shorter(t: Column) -> Column:
-        paras = paragraphs(t)
-        sents = F.filter(F.transform(tx.sentences(t), tx.trimmed), lambda s: F.length(s) > 0)
-        three_quarters = tx.trimmed(F.substr(t, F.lit(1), F.greatest(F.lit(32), F.floor(F.length(t) * 3 / 4).cast("int"))))
-        return (
-            F.when(F.size(paras) >= 3, F.array_join(F.slice(paras, F.lit(1), F.size(paras) - 1), "\n\n"))
-            .when(F.size(sents) >= 3, F.array_join(F.slice(sents, F.lit(1), F.size(sents) - 1), " "))
-            .otherwise(three_quarters)
-        )
+    ``count`` is 0 if none fits; ``before`` is the text that the longest proper prefix was made from.
+    """
+    def text_of(k: Column) -> Column:
+        return F.array_join(F.slice(parts, F.lit(1), k), between)
 
-    fits = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)), text,
-        lambda t, _: F.when((tokens_of(t) <= limit) | (F.length(t) <= 32), t).otherwise(shorter(t)),
-    )
-    return tx.let(fits, lambda t: F.when(tokens_of(t) <= limit, t).otherwise(F.substring(text, 1, 256)))
+    def halve(s: Column, _: Column) -> Column:
+        middle = ((s["low"] + s["high"] + 1) / 2).cast("int")
+        fits = tokens_of(text_of(middle)) <= limit
+        moved = F.struct(F.when(fits, middle).otherwise(s["low"]).alias("low"), F.when(fits, s["high"]).otherwise(middle - 1).alias("high"))
+        return F.when(s["low"] < s["high"], moved).otherwise(s)
+
+    # 31 halvings cover any array
+    start = F.struct(F.lit(1).alias("low"), (F.size(parts) - 1).alias("high"))
+    k = F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, halve, lambda s: s["low"])
+
+    def judge(k: Column) -> Column:
+        previous = F.when(k + 1 >= F.size(parts), before).otherwise(text_of(k + 1))
+        return F.struct(F.when((k >= 2) & (F.length(previous) > 32), k).otherwise(0).alias("count"), text_of(k).alias("text"), text_of(F.lit(2)).alias("two"))
+
+    return tx.let(k, judge)
+
+
+def shorten_for_embedding(c: Column, tokens_of, limit: int = lx.MAX_EMBEDDING_TOKENS) -> Column:
+    """Shrink text until ``tokens_of(text)`` fits: drop last paragraphs, then last sentences, then quarters.
+
+    As long as the text has three paragraphs or sentences the last one goes, so the longest fitting prefix is left. It is
+    found by halving: ``tokens_of`` must not fall when text is added. A text that never fits above 32 characters is cut to
+    256 characters.
+    """
+    text = tx.trimmed(F.replace(c, F.lit("\r\n"), F.lit("\n")))
+
+    def by_paragraph(t: Column) -> Column:
+        found = tx.let(paragraphs(t), lambda parts: F.when(
+            F.size(parts) >= 3, _longest_prefix(parts, "\n\n", t, tokens_of, limit)).otherwise(
+            F.struct(F.lit(0).alias("count"), F.lit(None).cast("string").alias("text"), t.alias("two"))))
+        return tx.let(found, lambda f: F.when(f["count"] > 0, f["text"]).otherwise(by_sentence(f["two"], t)))
+
+    def by_sentence(t: Column, whole: Column) -> Column:
+        def split(u: Column) -> Column:
+            sents = F.filter(F.transform(tx.sentences(u), tx.trimmed), lambda s: F.length(s) > 0)
+            found = tx.let(sents, lambda parts: F.when(
+                F.size(parts) >= 3, _longest_prefix(parts, " ", u, tokens_of, limit)).otherwise(
+                F.struct(F.lit(0).alias("count"), F.lit(None).cast("string").alias("text"), u.alias("two"))))
+            return tx.let(found, lambda f: F.when(f["count"] > 0, f["text"]).otherwise(by_quarter(f["two"], whole)))
+
+        return tx.let(t, split)
+
+    def by_quarter(t: Column, whole: Column) -> Column:
+        cut = lambda u: tx.trimmed(F.substr(u, F.lit(1), F.greatest(F.lit(32), F.floor(F.length(u) * 3 / 4).cast("int"))))
+        # eighty quarters bring the longest possible string below 32 characters
+        left = F.aggregate(F.sequence(F.lit(1), F.lit(80)), t, lambda u, _: F.when((tokens_of(u) <= limit) | (F.length(u) <= 32), u).otherwise(cut(u)))
+        return tx.let(left, lambda u: F.when(tokens_of(u) <= limit, u).otherwise(F.substring(whole, 1, 256)))
+
+    return tx.let(text, lambda t: F.when(tokens_of(t) <= limit, t).otherwise(by_paragraph(t)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; make one only in a local session without it."""
+    """Use the shared folder which ``spark.checkpoint.dir`` names; only a local session without one, as in tests, makes its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return

@@ -76,44 +76,43 @@ def contained_pairs(short: DataFrame, long: DataFrame, short_text: str, long_tex
 
 
 def title_scores(targets: DataFrame, files: DataFrame) -> DataFrame:
-    """Score every (query_id, file_path) that matches at all: 6 equal, 4 contained, 2 shared tokens.
+    """The files which reach a query's best score: 6 equal, 4 contained, 2 shared tokens.
 
-    ``targets``: query_id, requested_title. ``files``: file_path, document_title (any number
-    of titles per file). The file's own path and stem count as titles too.
+    ``targets``: query_id, requested_title. ``files``: file_path, document_title (any number of titles per file). The
+    file's own path and stem count as titles too. Paths which differ in case alone are one file, under the smallest spelling.
+    A title goes on to containment only without an equal one, and to tokens only without a contained one.
     """
     t = targets.select("query_id", tx.lookup_norm(F.col("requested_title")).alias("want")).filter(
         F.length("want") > 0
     )
     names = F.array(F.col("document_title"), tx.file_stem(F.col("file_path")), F.col("file_path"))
-    # read four times below: written once instead of scanned and normalised four times
+    spelled = files.select("file_path", "document_title").distinct()
+    spelling = spelled.groupBy(F.upper("file_path").alias("_key")).agg(F.min("file_path").alias("file_path"), F.collect_set(F.struct(names.alias("n"))).alias("_all"))
+    # a file has few titles; read by every stage below: written once instead of scanned and normalised again
     c = cut(
-        files.select("file_path", "document_title").distinct()
-        .select("file_path", F.explode(names).alias("title"))
+        spelling.select("file_path", F.explode(F.flatten(F.transform("_all", lambda x: x["n"]))).alias("title"))
         .select("file_path", tx.lookup_norm(F.col("title")).alias("have"))
         .filter(F.length("have") > 0).distinct()
     )
-    t = cut(t)
     wants = t.select("want").distinct()
-    equal = wants.join(c, F.col("want") == F.col("have")).select("want", "file_path", F.lit(6).alias("score"))
-    inside = [
-        contained_pairs(wants, c, "want", "have").select("want", "file_path", F.lit(4).alias("score")),
-        contained_pairs(c, wants, "have", "want").select("want", "file_path", F.lit(4).alias("score")),
-    ]
+    equal = wants.join(c, F.col("want") == F.col("have")).select("want", "file_path", F.lit(6).alias("score")).distinct()
+    unequal = cut(wants.join(c.select(F.col("have").alias("want")), "want", "left_anti"))
+    inside = cut(
+        contained_pairs(unequal, c, "want", "have").select("want", "file_path")
+        .unionByName(contained_pairs(c, unequal, "have", "want").select("want", "file_path")).distinct()
+    )
+    apart = unequal.join(inside.select("want"), "want", "left_anti")
     cand = c.select("have").distinct()
-    shared = shared_token_length(wants, "want", "want", cand, "have", "have").join(c, "have").select(
+    shared = shared_token_length(apart, "want", "want", cand, "have", "have").join(c, "have").select(
         "want", "file_path", F.lit(2).alias("score")
-    )
-    scored = equal.unionByName(inside[0]).unionByName(inside[1]).unionByName(shared)
-    return scored.groupBy("want", "file_path").agg(F.max("score").alias("score")).join(t, "want").select(
-        "query_id", "file_path", "score"
-    )
+    ).distinct()
+    scored = equal.unionByName(inside.withColumn("score", F.lit(4))).unionByName(shared)
+    return scored.join(t, "want").select("query_id", "file_path", "score")
 
 
 def title_match(targets: DataFrame, files: DataFrame) -> DataFrame:
     """All files that reach a query's best score; queries that match nothing have no row."""
-    scored = cut(title_scores(targets, files))
-    best = scored.groupBy("query_id").agg(F.max("score").alias("score"))
-    return scored.join(best, ["query_id", "score"]).select("query_id", "file_path", "score")
+    return title_scores(targets, files)
 
 
 def prefer_json(paths: DataFrame, scope: list[str]) -> DataFrame:

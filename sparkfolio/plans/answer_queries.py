@@ -1,7 +1,7 @@
 """Queries over answers: citations, checks, evidence scores, fallback answers.
 
-Each document stands for one question: its derived chunks are the context, its first
-characters with bare citation marks are the answer.
+Each document stands for one question: its derived chunks are the context, its whole
+text with bare citation marks is the answer.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ INTENTS = ("summary", "procedure", "definition", "metadata", "general")
 INTENT_OF = derived.case("doc_id % 5", [f"'{i}'" for i in INTENTS[:-1]], "'general'")
 FOCUS = ("控制", "策略", "the", "tion")
 ANSWER = (
-    "concat(substr(text, 1, 160), ' [c', doc_id % 7 + 1, '] 控制策略 [C02] \\n第二行 传感器采集 ', substr(text, 161, 90), ' [c', doc_id % 40, ']')"
+    "concat(substr(text, 1, 160), ' [c', doc_id % 7 + 1, '] 控制策略 [C02] \\n第二行 传感器采集 ', substr(text, 161), ' [c', doc_id % 40, ']')"
 )
 ANSWER_SQL = ANSWER.replace("' [c', doc_id % 7 + 1, '] 控制策略 [C02] \\n第二行 传感器采集 '",
                             "' [c', doc_id % 7 + 1, '] 控制策略 [C02] ', chr(10), '第二行 传感器采集 '")
-LINES = "concat(substr(text, 1, 120), '\\n\\n传感器控制策略 tion the\\n', substr(text, 121, 60))"
+LINES = "concat(substr(text, 1, 120), '\\n\\n传感器控制策略 tion the\\n', substr(text, 121))"
 LINES_SQL = LINES.replace("'\\n\\n传感器控制策略 tion the\\n'", "chr(10) || chr(10) || '传感器控制策略 tion the' || chr(10)")
 
 

@@ -43,8 +43,9 @@ def content_groups(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def new_content(incoming: DataFrame, corpus: DataFrame, text: str = "content") -> DataFrame:
-    """Incoming files whose content is not in the corpus yet; one file per new content."""
+    """Incoming files whose content is not in the corpus yet; one file, the smallest path, per new content."""
     hashed = incoming.withColumns({"_h": F.sha2(text, 256), "_n": F.length(text)})
     known = corpus.select(F.sha2(text, 256).alias("_h"), F.length(text).alias("_n")).distinct()
-    first = hashed.groupBy("_h", "_n").agg(F.min_by(F.struct(*incoming.columns), "file_path").alias("_row"))
-    return first.join(known, ["_h", "_n"], "left_anti").select("_row.*")
+    # hashes and paths alone are aggregated; texts move once, to meet the paths that stay
+    first = hashed.groupBy("_h", "_n").agg(F.min("file_path").alias("file_path")).join(known, ["_h", "_n"], "left_anti")
+    return hashed.join(first, ["_h", "_n", "file_path"], "left_semi").select(*incoming.columns)

@@ -42,7 +42,7 @@ def compare(spark, sf_dir, name, con):
     spark_s = time.time() - t
     sql = catalog.oracle_sql().get(name)
     if sql is None:
-        return f"{name}: rows-only {len(got)} rows, {spark_s:.1f}s", True, got
+        return f"{name}: NO SQL {len(got)} rows, {spark_s:.1f}s", False, got
     t = time.time()
     cur = con.execute(sql)
     want = cur.fetchall()

@@ -15,6 +15,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, name):
-    message, ok, rows = compare(spark, SF, name, con)
-    # small tables may leave a query without rows; differing rows are never accepted
-    assert ok or "DIFF 0 rows" in message, message
+    if name not in catalog.oracle_sql():
+        pytest.skip("no SQL; see the brute-force tests")
+    message, ok, got = compare(spark, SF, name, con)
+    # the smallest tables may leave both sides without rows; rows on one side alone are a difference
+    assert ok or (not got and not con.execute(catalog.oracle_sql()[name]).fetchall()), message
