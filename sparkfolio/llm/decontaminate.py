@@ -34,7 +34,7 @@ def contaminated(
     Similarity is Dice's on the distinct ``width``-word shingles (of a shorter item: the whole), each weighing
     1 + ln(items / items which hold it), so that stock phrases count less. Words are lower-cased runs of letters and digits.
 
-    Null and empty texts and items match nothing. Rows with the same id and text give one row an item, ties the smallest
+    Null and empty texts and items match nothing. An item id with several texts stands for each of them. Rows with the same id and text give one row an item, ties the smallest
     start. A null doc_id is reported as null. Empty tables give an empty result. Other columns play no part.
 
     Every window of an item's length which shares a shingle with some item (no other can verify) gets a SimHash of its
@@ -42,7 +42,9 @@ def contaminated(
     within ``radius`` bits. Twenty bits hold what the similarity allows: where a fifth of the words at an edge differ,
     12 +- 3 bits are expected to.
     """
-    refs = references(items, item_id, item_text, width)
+    # an id may come with several texts; each is an item of its own till the end
+    named = items.select(F.struct(F.col(f"`{item_id}`").alias("id"), F.xxhash64(f"`{item_text}`").alias("text")).alias("key"), F.col(f"`{item_text}`").alias("words"))
+    refs = references(named, "key", "words", width)
     total = refs.count()
     spread = cut(refs.select("ref", F.explode(F.array_distinct("shingles")).alias("shingle")))
     weights = cut(spread.groupBy("shingle").agg((1 + F.log(F.lit(float(max(1, total))) / F.count(F.lit(1)))).alias("weight")))
@@ -69,6 +71,6 @@ def contaminated(
     scored = met.groupBy("id", "start", "n", "ref", "item_weight").agg(
         F.sum("weight").alias("own_weight"), F.sum(F.when(F.col("shared"), F.col("weight")).otherwise(0.0)).alias("both"))
     scored = scored.select("id", "ref", "n", "start", (2 * F.col("both") / (F.col("own_weight") + F.col("item_weight"))).alias("similarity"))
-    best = scored.where(F.col("similarity") >= similarity).groupBy("id", "ref").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
+    best = scored.where(F.col("similarity") >= similarity).groupBy("id", F.col("ref.id").alias("ref")).agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
     return best.select(
         F.col("id").alias(doc_id), F.col("ref").alias(item_id), (-F.col("best.back")).alias("start"), F.col("best.n").alias("n_words"), F.col("best.similarity").alias("similarity"))
