@@ -19,6 +19,7 @@ from sparkfolio.llm.components import connect
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 ODD, ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 BROADCAST_IDS = 1_000_000  # about 32 MB as a hashed relation
+GROUP_BLOCK = 4096  # nodes of a group that are compared with as many others in one task
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -251,6 +252,37 @@ def _may_link(num: int, den: int):
     return run
 
 
+def _compare(num: int, den: int):
+    """Of two blocks of a group, or one with itself, the pairs of different labels whose sketches may link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, node, n, label = (table.column(c).to_numpy() for c in ("own", "node", "n", "label"))
+        one = own == table.column("i")[0].as_py()
+        two = own == table.column("j")[0].as_py()
+        sketches = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+        width = np.array([len(x) for x in sketches])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for w in np.unique(width):
+            # similar sets have sketches of this width or of twice that, whose halves fold into one
+            narrow, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            bits = np.array([sketches[i] for i in narrow] + [sketches[i][:w] ^ sketches[i][w:] for i in wide])
+            places, is_narrow = np.concatenate([narrow, wide]), np.arange(len(bits)) < len(narrow)
+            for at in range(0, len(bits), 32):
+                x = places[at:at + 32]
+                apart = np.bitwise_count(bits[at:at + 32, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int64)
+                most = (n[x][:, None] + n[places][None, :]) * (den - num) // (den + num)
+                ok = (apart <= most) & (label[x][:, None] != label[places][None, :]) & (is_narrow[at:at + 32, None] | is_narrow[None, :])
+                ok &= den * np.minimum(n[x][:, None], n[places][None, :]) >= num * np.maximum(n[x][:, None], n[places][None, :])
+                ok &= (one[x][:, None] & two[places][None, :]) | (two[x][:, None] & one[places][None, :])
+                ok &= node[x][:, None] < node[places][None, :]
+                p, q = np.nonzero(ok)
+                found.append((node[x[p]], node[places[q]]))
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _verify(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -294,11 +326,12 @@ def similar_sets(
     table gives empty results.
 
     Plan: equal sets fold into one node before anything else. One shuffle brings equal signatures together, sorted on disk
-    where need be. Buckets with the same nodes count once. In a bucket, nodes which meet many others come first; a round
-    tests the next 1, 4, 16, ... of them against the rest, by small sketches which rule out most pairs below the
-    similarity and none above it, then by the texts. When only connections are asked for, pairs within one component
-    are skipped, so a large group of near copies costs about a test per member, not one per pair. Texts travel compressed,
-    those of candidates only.
+    where need be. Buckets with the same nodes count once. First the node of a bucket which meets most others is tested
+    against them; that joins a large group of near copies by a test for each member. Nodes left in buckets of several
+    components are compared in groups, block against block, by sketches of half a byte to a byte an element; these rule
+    out most pairs below the similarity and none above it. Pairs are rows only once a sketch allows them. Texts travel
+    compressed, those of candidates only. To be sure that no two of g candidates are linked takes g * g / 2 comparisons of
+    sketches, which no hash spares; they are spread over the tasks.
     """
     sets = cut(shingle_classes(docs, doc_id, text, width))
     nodes = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("of"), F.first("n").alias("n"))
@@ -312,39 +345,42 @@ def similar_sets(
     by_rank = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "node")
     ranked = cut(members.join(known.select("node", "weight", "n"), "node").select("bucket", "node", "n", (F.row_number().over(by_rank) - 1).alias("rank")))
     bodies = stored(_with_node(docs, doc_id, text, known).mapInArrow(_bodies(width), "node bigint, sketch binary, body binary"), "bodies")
+    sketches = bodies.select("node", "sketch").join(known.select("node", "n"), "node")
     labels = known.select("node", F.col("node").alias("label"))
-    tested, links, low = None, None, 0
-    while ranked.take(1):
-        high = 4 * low + 1
-        placed = ranked.join(labels, "node") if spanning else ranked.withColumn("label", F.col("node"))
-        left = placed.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
-            "bucket", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("rank").alias("p_rank"), F.col("label").alias("p_label"))
-        pairs = left.join(placed, "bucket").where(
-            (F.col("rank") > F.col("p_rank")) & (F.col("label") != F.col("p_label"))
-            & (den * F.least("n", "p_n") >= num * F.greatest("n", "p_n")))
-        first = F.col("node") < F.col("p")
-        pairs = pairs.select(
-            F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"), F.when(first, F.col("n")).otherwise(F.col("p_n")).alias("n_a"),
-            F.when(first, F.col("p_n")).otherwise(F.col("n")).alias("n_b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        sketched = _with_both(pairs, bodies, "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        likely = cut(sketched.mapInArrow(_may_link(num, den), "a bigint, b bigint"))
-        new = cut(_with_both(likely, bodies, "body").select("a", "b", "body_a", "body_b").mapInArrow(_verify(width, num, den), "a bigint, b bigint"))
-        pairs = pairs.select("a", "b")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        links = new if links is None else links.unionAll(new)
-        if spanning and new.take(1):
-            labels = cut(_relabel(labels, new))
-        low = high
-        beyond = ranked.where(F.col("rank") >= low)
-        beyond = beyond.join(labels, "node") if spanning else beyond.withColumn("label", F.col("node"))
-        open_ = beyond.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        ranked = cut(ranked.join(open_, "bucket", "left_semi"))
-    if links is None:
-        links = members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = _with_both(pairs, bodies, "body").select("a", "b", "body_a", "body_b")
+        return cut(met.mapInArrow(_verify(width, num, den), "a bigint, b bigint"))
+
+    # each bucket's foremost node against the others
+    front = ranked.where("rank = 0").select("bucket", F.col("node").alias("p"), F.col("n").alias("p_n"))
+    met = front.join(ranked.where("rank > 0"), "bucket").where(den * F.least("n", "p_n") >= num * F.greatest("n", "p_n"))
+    first = F.col("node") < F.col("p")
+    pairs = met.select(
+        F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"), F.when(first, F.col("n")).otherwise(F.col("p_n")).alias("n_a"),
+        F.when(first, F.col("p_n")).otherwise(F.col("n")).alias("n_b")).distinct()
+    sketched = _with_both(pairs, bodies, "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    links = verified(cut(sketched.mapInArrow(_may_link(num, den), "a bigint, b bigint")))
+    if spanning:
+        labels = cut(_relabel(labels, links))
+
+    # nodes which share buckets that are not of one component yet, directly or through others, form a group
+    placed = ranked.join(labels, "node")
+    open_ = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("m")).where("x < y").select("bucket", "m")
+    roots = connect(placed.join(open_, "bucket").select("node", "m"))
+    rows = roots.join(sketches, "node").join(labels, "node").select("root", "node", "n", "label", "sketch")
+    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_BLOCK)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("root", "i", "j", "own", "node", "n", "label", "sketch")
+    likely = cut(rows.groupBy("root", "i", "j").applyInArrow(_compare(num, den), "a bigint, b bigint"))
     if not spanning:
-        labels = _relabel(labels, links)
-    return sets, links, labels
+        likely = likely.join(links, ["a", "b"], "left_anti")
+    more = verified(likely)
+    links = links.unionAll(more)
+    if spanning:
+        return sets, links, _relabel(labels, more)
+    return sets, links, _relabel(labels, links)
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
