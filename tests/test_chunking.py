@@ -1,78 +1,65 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkfolio.operators import chunking as cg
 
 
-def windows(text, size, overlap):
-    text, out, start = text.strip(), [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            last = max(text.rfind(m, start, end) for m in "。！？\n")
-            if last > start + size // 2:
-                end = last + 1
-        if text[start:end].strip():
-            out.append(text[start:end].strip())
-        if end >= len(text):
-            break
-        start = max(0, end - overlap) if max(0, end - overlap) > start else end
-    return out
-
-
-def fold(paras, title, size, overlap, heading):
-    out, buf, section, path, stack = [], "", title, title, []
-
-    def flush():
-        if buf.strip():
-            out.append((buf.strip(), section, path))
-
-    for p in paras:
-        if heading(p):
-            flush()
-            section = p.lstrip("# \t").strip()
-            level = 1 if not stack else min(len(stack) + 1, 6)
-            stack = stack[: level - 1] + [section]
-            path, buf = " > ".join(stack), p + "\n"
-            continue
-        pending = ""
-        if buf and len(buf) + len(p) + 2 > size:
-            flush()
-            pending, buf = buf.strip()[-overlap:].strip(), ""
-        if len(p) > size:
-            flush()
-            buf = ""
-            out.extend((w, section, path) for w in windows(p, size, overlap))
-            continue
-        room = size - len(p) - 2
-        if not buf and pending and room > 0:
-            buf = pending[-room:].strip()
-        buf = buf + "\n" + p if buf else p
-    flush()
-    return out
-
-
-def test_windows_match_brute_force(spark):
-    texts = ["a" * 700, "句子很长。" * 90, "x\n" * 400, "短", "word " * 333 + "。" + "tail " * 99]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for size, overlap in ((60, 10), (50, 40), (128, 0)):
-        got = [r[0] for r in df.select(cg.window_parts(F.trim("t"), size, overlap)).collect()]
-        assert got == [windows(t, size, overlap) for t in texts]
-
-
-def test_markdown_fold_matches_brute_force(spark):
-    body = "\n\n".join(
-        ["第1章 系统设计", "alpha " * 12, "beta " * 9, "摘要：", "gamma " * 50, "2 方法 实现", "delta", "eps " * 14, "zeta " * 15]
-    )
+TEXTS = ["a" * 700, "句子很长。" * 90, "x\n" * 400, "短", "word " * 333 + "。" + "tail " * 99]
+
+
+@pytest.mark.parametrize("size,overlap", [(60, 10), (50, 40), (128, 0)])
+def test_windows_cover_the_text(spark, size, overlap):
+    df = spark.createDataFrame([(t.strip(),) for t in TEXTS], "t string")
+    for text, parts in df.select("t", cg.window_parts(F.col("t"), size, overlap)).collect():
+        reached = 0
+        for part in parts:
+            at = text.index(part, max(0, reached - overlap))
+            assert not text[reached:at].strip() and len(part) <= size  # nothing but trimmed space lies between
+            reached = at + len(part)
+        assert reached == len(text)
+        # a window which is not the last ends at a mark beyond its middle, or is full
+        assert all(p[-1] in "。！？" or len(p) > size // 2 for p in parts[:-1])
+
+
+def test_windows_by_hand(spark):
+    df = spark.createDataFrame([("一二三四五六。七八九十。一二三四五",)], "t string")
+    assert df.select(cg.window_parts(F.col("t"), 10, 2)).first()[0] == ["一二三四五六。", "六。七八九十。", "十。一二三四五"]
+
+
+def test_markdown_chunks_by_hand(spark):
+    body = "第1章 系统设计\n\nalpha beta gamma\n\n摘要：\n\ndelta epsilon zeta eta\n\n2 方法 实现\n\ntheta"
+    docs = spark.createDataFrame([("a.md", "x/a.md", body)], "source string, file_path string, content string")
+    rows = cg.markdown_chunks(docs, 40, 8).orderBy("idx").collect()
+    first, second = "第1章 系统设计", "第1章 系统设计 > 2 方法 实现"
+    assert [(r["idx"], r["text"], r["section_title"], r["structure_path"]) for r in rows] == [
+        (0, "第1章 系统设计\n\nalpha beta gamma", first, first),
+        (1, "ta gamma\ndelta epsilon zeta eta", first, first),
+        (2, "2 方法 实现\n\ntheta", "2 方法 实现", second),
+    ]
+
+
+def test_long_paragraphs_become_windows(spark):
+    body = "第1章 系统设计\n\nshort\n\n" + "gamma " * 50 + "\n\nend"
     docs = spark.createDataFrame([("a.md", "x/a.md", body)], "source string, file_path string, content string")
-    rows = cg.markdown_chunks(docs, 120, 20).orderBy("idx").collect()
-    paras = [p.strip() for p in body.split("\n\n")]
-    heads = {"第1章 系统设计", "2 方法 实现"}
-    paras = [p for p in paras if not p.startswith("摘要")]  # metadata lines are dropped before indexing
-    want = fold(paras, "第1章 系统设计", 120, 20, lambda p: p in heads)
-    assert [(r["text"], r["section_title"], r["structure_path"]) for r in rows] == want
-    assert [r["idx"] for r in rows] == list(range(len(rows)))
+    texts = [r["text"] for r in cg.markdown_chunks(docs, 120, 20).orderBy("idx").collect()]
+    assert texts[0] == "第1章 系统设计\n\nshort" and texts[-1] == "end" and all(len(t) <= 120 for t in texts)
+    assert "".join(texts[1:-1]).replace(" ", "").startswith("gamma" * 10) and len(texts) >= 5
+
+
+def test_embedding_guard(spark):
+    tokens = lambda c: F.ceil(F.length(c) / 2)
+    paragraphs = "\n\n".join(f"paragraph {i:04d}" for i in range(400))  # 14 characters and 2 between
+    sentences = "one sentence here. " * 300
+    solid = "x" * 5000
+    rows = [(0, paragraphs), (1, sentences), (2, solid), (3, "fits"), (4, ""), (5, "a b. " + "y" * 3000)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", cg.shorten_for_embedding(F.col("t"), tokens, 500)).collect()}
+    assert got[0] == "\n\n".join(f"paragraph {i:04d}" for i in range(62))  # 62 * 14 + 61 * 2 = 990 <= 1000 characters
+    assert got[1] == " ".join(["one sentence here."] * 52)  # 52 * 18 + 51 = 987
+    assert got[2] == "x" * 888 and got[3] == "fits" and got[4] == ""  # three quarters each time: 3750, 2812, 2109, 1581, 1185, 888
+    assert len(got[5]) <= 1000
 
 
 def test_json_chunks(spark):
