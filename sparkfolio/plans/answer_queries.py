@@ -223,7 +223,11 @@ def fallback_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.fallback_answers(retrieval_queries.pipeline(spark, sf_dir).context)
 
 
-@query("prompt_blocks")
+@query("prompt_blocks", f"""
+    WITH {retrieval_queries.SELECTED}, b AS (SELECT x.query_id, x.context_pos, c.* FROM ctx x JOIN chunks c ON c.file_path = x.file_path AND c.idx = x.idx)
+    SELECT query_id, context_pos, concat_ws(chr(10), concat('来源标签: ', {sq.citation()}),
+      concat('来源说明: ', document_title, ' / ', section_title, ' (', file_path, ')'),
+      CASE WHEN NOT {sq.blank('structure_path')} THEN concat('结构路径: ', structure_path) END, {sq.prompt_text('text')}) AS block FROM b""")
 def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = retrieval_queries.pipeline(spark, sf_dir).context
     return c.select("query_id", "context_pos", an.context_block().alias("block"))

@@ -246,3 +246,12 @@ def kind_weight(kind: str, weights: dict[str, float], default: float) -> str:
 
 def term_hits(text: str, terms: str) -> str:
     return f"len(list_filter({terms}, lambda t: contains({text}, t)))"
+
+
+def prompt_text(c: str) -> str:
+    """A text as it is shown to a model: cleaned lines without tags, headings, metadata and references, or all of it."""
+    lines = (
+        f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: {clean_sentence('x')}), lambda s: length(s) > 0 AND NOT {m('s', '<[^>]+>')} "
+        f"AND NOT {m('s', '^#{1,6}\\s')} AND NOT {metadata_like('s')} AND NOT {reference_like('s')} AND NOT {title_like('s')})"
+    )
+    return f"(CASE WHEN len({lines}) = 0 THEN {c} ELSE array_to_string({lines}, chr(10)) END)"

@@ -97,7 +97,18 @@ def chapter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seed_rows(wn.chapter_related(seeds(c), c))
 
 
-@query("context_window")
+@query("context_window", f"""
+    WITH {BASE},
+    nb AS (SELECT DISTINCT s.file_path, c.idx FROM sd s JOIN cs c ON c.file_path = s.file_path AND abs(c.idx - s.idx) <= {lx.CONTEXT_RADIUS}),
+    around AS (SELECT file_path, idx FROM nb UNION SELECT file_path, idx FROM br WHERE rn <= {lx.CONTEXT_RADIUS + 1}
+      UNION SELECT file_path, idx FROM se WHERE rn <= 4 UNION SELECT file_path, idx FROM chp WHERE rn <= {max(3, lx.CONTEXT_RADIUS + 3)}),
+    ct AS (SELECT *, {_COV} + {struct_sql(_T, '3')} + {_TTL} + {sq.weight("content_kind = 'summary'", 0.15)} AS rel FROM cs), n AS (SELECT file_path, count(*) AS n FROM sd GROUP BY file_path),
+    r AS (SELECT c.file_path, c.idx, s.idx IS NOT NULL AS is_seed, least(greatest(6, n.n * 2), 10) AS size,
+            round(c.rel, 9) AS rel
+          FROM around a JOIN ct c USING (file_path, idx) JOIN n USING (file_path) LEFT JOIN sd s ON s.file_path = c.file_path AND s.idx = c.idx
+          WHERE c.content_kind <> 'metadata' AND NOT {sq.english_field('c.')} AND ({sq.cjk(sq.prompt_text('c.text'))} OR length({sq.prompt_text('c.text')}) < 40)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY is_seed DESC, rel DESC, idx) AS rn FROM r)
+    SELECT file_path AS query_id, row_number() OVER (PARTITION BY file_path ORDER BY idx) AS pos, file_path, idx, is_seed FROM p WHERE rn <= size""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
     return wn.context_window(seeds(c), c)
