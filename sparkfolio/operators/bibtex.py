@@ -85,3 +85,9 @@ def bibtex_entries(docs: DataFrame, text: str = "text") -> DataFrame:
     """Explode the entries of every document, numbered from 0; field names are lower case, the last wins."""
     keep = [x for x in docs.columns if x != text]
     return docs.select(*keep, F.posexplode(entries(F.col(text))).alias("pos", "e")).select(*keep, "pos", "e.*")
+
+
+def first_entry(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The first entry of every document, null where there is none."""
+    keep = [x for x in docs.columns if x != text]
+    return docs.select(*keep, F.try_element_at(entries(F.col(text)), F.lit(1)).alias("e")).select(*keep, "e.*")

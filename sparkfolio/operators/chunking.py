@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -336,10 +337,40 @@ def _leaves(text: str, name: str, size: int) -> list[dict]:
     return [{**e, "section": e["section"] or "", "title": title} for e in out]
 
 
+def _outline_lines(node, label: str, depth: int) -> list[str]:
+    """A JSON value as Markdown lines: nested names become headings, scalars fields or list items."""
+    def under(name: str, child) -> list[str]:
+        return [f"{'#' * min(6, depth + 2)} {name}", "", *_outline_lines(child, name, depth + 1)]
+
+    if isinstance(node, _Pairs):
+        lines: list[str] = []
+        for nested, group in groupby(node, lambda pair: isinstance(pair[1], list)):
+            if nested:
+                lines += [line for k, v in group for line in under(k, v)]
+            elif fields := [f"{k}: {_scalar(v)}" for k, v in group if _scalar(v).strip()]:
+                lines += [*fields, ""]
+        return lines
+    if isinstance(node, list):
+        parts = [under(f"{label}[{n}]", v) if isinstance(v, list) else [f"- {_scalar(v)}"] * bool(_scalar(v).strip()) for n, v in enumerate(node, 1)]
+        return [*chain.from_iterable(parts), *[""] * bool(node)]
+    return [_scalar(node), ""] if _scalar(node).strip() else []
+
+
+def _outline(text: str, name: str) -> str:
+    """The whole document as Markdown, for one without a leaf worth keeping."""
+    root = json.loads(text, object_pairs_hook=_Pairs, parse_int=str, parse_float=str, parse_constant=str)
+    fields = _fields(root) if isinstance(root, _Pairs) else {}
+    title = next((t for t in (_field(fields, n) for n in lx.JSON_TITLE_FIELDS) if t.strip()), name)
+    return "\n".join([f"# {title}", "", *_outline_lines(root, title, 0)]).strip()
+
+
 def json_leaves(text: Column, name: Column, size: int = lx.CHUNK_SIZE) -> Column:
-    """Struct (ok, title, leaves) per document; ``ok`` is false for text that is not JSON."""
+    """Struct (ok, title, leaves, outline) per document; ``ok`` is false for text that is not JSON.
+
+    A document without leaves has its outline as Markdown; others have none.
+    """
 
-    @F.pandas_udf(f"ok boolean, title string, leaves {LEAVES}")
+    @F.pandas_udf(f"ok boolean, title string, leaves {LEAVES}, outline string")
     def read(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, names in frames:
             rows = []
@@ -347,10 +378,11 @@ def json_leaves(text: Column, name: Column, size: int = lx.CHUNK_SIZE) -> Column
                 try:
                     found = _leaves(t, n, size)
                     rows.append((True, found[0]["title"] if found else n,
-                                 [{k: v for k, v in e.items() if k != "title"} for e in found]))
+                                 [{k: v for k, v in e.items() if k != "title"} for e in found],
+                                 None if found else _outline(t, n)))
                 except (ValueError, TypeError, RecursionError):
-                    rows.append((False, n, []))
-            yield pd.DataFrame(rows, columns=["ok", "title", "leaves"])
+                    rows.append((False, n, [], None))
+            yield pd.DataFrame(rows, columns=["ok", "title", "leaves", "outline"])
 
     return read(text, name)
 
@@ -410,7 +442,8 @@ def json_chunks(
         bad = F.raise_error(F.concat(F.lit("not a JSON document: "), F.col("file_path")))
         leaves = F.when(F.col("_j.ok"), leaves).otherwise(bad.cast(LEAVES))
     packed = parsed.select(
-        "source", "file_path", F.col("_j.title").alias("document_title"), pack_leaves(leaves, size).alias("b")
+        "source", "file_path", F.col("_j.title").alias("document_title"), pack_leaves(leaves, size).alias("b"),
+        sanitized_markdown(F.col("_j.outline")).alias("_clean"),
     )
 
     def cut(b: Column) -> Column:
@@ -424,8 +457,16 @@ def json_chunks(
             ),
         )
 
+    # a document without leaves is cut like Markdown, from its outline
+    outlined = F.col("_clean").isNotNull()
+    title = F.when(outlined, document_title(F.col("_clean"), F.col("source"))).otherwise(F.col("document_title"))
+    packed = packed.withColumn("document_title", title)
+    pieces = markdown_pieces(paragraphs(F.col("_clean")), F.col("document_title"), size, overlap)
+    as_blocks = F.transform(pieces, lambda c: F.struct(
+        c["text"].alias("text"), c["section"].alias("section"), c["path"].alias("path"), F.lit("").alias("leaf"), F.lit("root").alias("mode")))
+    parts = F.when(outlined, as_blocks).otherwise(F.flatten(F.transform("b", cut)))
     rows = packed.select(
-        "source", "file_path", "document_title", F.posexplode(F.flatten(F.transform("b", cut))).alias("idx", "c")
+        "source", "file_path", "document_title", F.posexplode(parts).alias("idx", "c")
     ).select("source", "file_path", "document_title", "idx", "c.*")
     proposed = F.when(F.col("mode") == "root", "body").otherwise(ck.json_kind(F.col("leaf"), F.col("path")))
     return rows.withColumn("_kind", proposed).select(

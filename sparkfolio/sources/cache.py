@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkfolio.sources.versions import versions
+
 SCHEMA = "cache_key string, embedding array<float>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The cache, or an empty one when there is none yet."""
-    try:
-        return spark.read.schema(SCHEMA).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], SCHEMA)
-        raise
+    """The newest readable version of the cache, or an empty one when there is none.
+
+    A version that broke off or whose files can't be opened is passed over; vectors are then computed anew.
+    """
+    for version in reversed(versions(spark, path)[1]):
+        try:
+            found = spark.read.schema(SCHEMA).parquet(f"{path}/version={version}")
+            found.select("cache_key").take(1)
+            return found
+        except (AnalysisException, Py4JJavaError, SparkRuntimeException):
+            continue
+    return spark.createDataFrame([], SCHEMA)
 
 
 def write(cache: DataFrame, path: str) -> None:
-    cache.write.mode("overwrite").parquet(path)
+    """Write a new version beside the old ones, then remove all but the one before.
+
+    ``cache`` may be read from the same path: its files stay until the new version is complete.
+    """
+    spark = cache.sparkSession
+    done = versions(spark, path)[1]
+    cache.write.mode("overwrite").parquet(f"{path}/version={(done[-1] if done else 0) + 1}")
+    fs, after = versions(spark, path)
+    for old in after[:-2]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
 
 
 def lookup(chunks: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:

@@ -1,7 +1,7 @@
 """Keyed tables kept as files: lookup, upsert, delete, seed, bulk replace.
 
-A change is a join and a new version of the table. The new version is written beside
-the old one and then named current, so a failed write leaves the old version in place.
+A change is a join that gives a new version of the table. ``commit`` writes it beside the old one; a reader takes the newest
+complete version, so a failed write leaves the old one in place.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkfolio.sources.versions import versions
+
 TEMPLATE_COLUMNS = (
     "template_id string, name string, version string, author string, description string, json_path string, "
     "created_at string, updated_at string"
@@ -54,3 +56,20 @@ def bulk_replace(files: DataFrame) -> DataFrame:
         F.col("file_path").alias("source"), F.lit(0).alias("chunk_index"), "content",
         F.unhex(F.repeat(F.lit("00"), 1536)).alias("embedding"), F.current_timestamp().alias("created_at"),
     )
+
+
+def current(spark: SparkSession, path: str, columns: str = TEMPLATE_COLUMNS) -> DataFrame:
+    """The newest complete version of a table, or an empty one."""
+    done = versions(spark, path)[1]
+    return spark.read.schema(columns).parquet(f"{path}/version={done[-1]}") if done else spark.createDataFrame([], columns)
+
+
+def commit(table: DataFrame, path: str) -> int:
+    """Write a changed table as the next version and return its number; the one before stays for those who read it."""
+    spark = table.sparkSession
+    fs, done = versions(spark, path)
+    number = (done[-1] if done else 0) + 1
+    table.write.mode("overwrite").parquet(f"{path}/version={number}")
+    for old in done[:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
+    return number

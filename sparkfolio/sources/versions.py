@@ -1,0 +1,16 @@
+"""Numbered versions of a table in a folder that any of Spark's file systems holds."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def versions(spark: SparkSession, path: str) -> tuple:
+    """The folder's file system and the numbers of the complete versions in it, in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    folder = place(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return fs, []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return fs, sorted(int(n[8:]) for n in names if n.startswith("version=") and fs.exists(place(f"{path}/{n}/_SUCCESS")))

@@ -92,3 +92,13 @@ def test_json_that_is_not_json_raises(spark):
         assert "not a JSON document: x/b.json" in str(e)
     else:
         raise AssertionError("text that is not JSON was accepted")
+
+
+def test_json_without_leaves_becomes_an_outline(spark):
+    doc = {"doi": "10.1/x", "references": ["first work", {"year": 2020}], "title": ""}
+    rows = [("a.json", "x/a.json", json.dumps(doc)), ("b.json", "x/b.json", '{"k": "kept"}'), ("c.json", "x/c.json", "{}")]
+    got = cg.json_chunks(spark.createDataFrame(rows, "source string, file_path string, content string")).orderBy("file_path", "idx").collect()
+    by = {p: [r["text"] for r in got if r["file_path"] == p] for p in ("x/a.json", "x/b.json", "x/c.json")}
+    assert by["x/b.json"] == ["k: kept"]
+    text = "\n".join(by["x/a.json"])
+    assert "first work" in text and "year: 2020" in text

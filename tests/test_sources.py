@@ -39,3 +39,27 @@ def test_eval_file_cache_options_and_seed(spark, tmp_path):
     twice = tables.seed(once, seeds, "template_id", F.lit("t2"))
     want = {("a", "n", "t0", "t0"), ("b", "new", "t1", "t1")}
     assert {tuple(r) for r in once.collect()} == want == {tuple(r) for r in twice.collect()}
+
+
+def test_committed_tables_and_cache_versions(spark, tmp_path):
+    path = str(tmp_path / "templates")
+    columns = "template_id string, name string, created_at string, updated_at string"
+    assert tables.current(spark, path, columns).count() == 0
+    first = tables.upsert(tables.current(spark, path, columns), spark.createDataFrame([("a", "one"), ("b", "two")], "template_id string, name string"), "template_id", F.lit("t1"))
+    assert tables.commit(first, path) == 1
+    second = tables.upsert(tables.current(spark, path, columns), spark.createDataFrame([("a", "new")], "template_id string, name string"), "template_id", F.lit("t2"))
+    assert tables.commit(second, path) == 2
+    gone = tables.delete_keys(tables.current(spark, path, columns), spark.createDataFrame([("b",)], "template_id string"), "template_id")
+    assert tables.commit(gone, path) == 3
+    assert [tuple(r) for r in tables.current(spark, path, columns).collect()] == [("a", "new", "t1", "t2")]
+    (tmp_path / "templates" / "version=4").mkdir()  # a write that broke off
+    assert tables.current(spark, path, columns).count() == 1
+
+    place = str(tmp_path / "cache")
+    cache.write(spark.createDataFrame([("k", [1.0]), ("old", [2.0])], cache.SCHEMA), place)
+    cache.write(cache.prune(cache.read(spark, place), spark.createDataFrame([("k",)], "cache_key string")), place)
+    assert [r["cache_key"] for r in cache.read(spark, place).collect()] == ["k"]
+    for broken in (tmp_path / "cache" / "version=2").glob("*.parquet"):
+        broken.write_bytes(b"not parquet")
+        (broken.parent / f".{broken.name}.crc").unlink(missing_ok=True)
+    assert sorted(r["cache_key"] for r in cache.read(spark, place).collect()) == ["k", "old"]
