@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
-from sparkfolio.llm.common import LOWER, UPPER, cut, stored
+from sparkfolio.llm.common import LOWER, UPPER, cut, pieces_of, stored
 from sparkfolio.llm.components import connect
 
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 ODD, ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 BROADCAST_IDS = 1_000_000  # about 32 MB as a hashed relation
-GROUP_BLOCK = 4096  # nodes of a group that are compared with as many others in one task
+GROUP_BLOCK = 2048  # nodes of a group that are compared with as many others in one task
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -267,16 +267,22 @@ def _compare(num: int, den: int):
             narrow, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
             bits = np.array([sketches[i] for i in narrow] + [sketches[i][:w] ^ sketches[i][w:] for i in wide])
             places, is_narrow = np.concatenate([narrow, wide]), np.arange(len(bits)) < len(narrow)
-            for at in range(0, len(bits), 32):
-                x = places[at:at + 32]
-                apart = np.bitwise_count(bits[at:at + 32, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int64)
+            # a quarter of the places is enough to rule out most; folded sketches differ in no more bits
+            few = np.bitwise_xor.reduce(bits.reshape(len(bits), 4, -1), axis=1) if w >= 4 else bits
+            step = max(1, 2_000_000 // max(1, few.size))
+            for at in range(0, len(bits), step):
+                x, rows = places[at:at + step], slice(at, at + step)
+                apart = np.bitwise_count(few[rows, None, :] ^ few[None, :, :]).sum(2, dtype=np.int32)
                 most = (n[x][:, None] + n[places][None, :]) * (den - num) // (den + num)
-                ok = (apart <= most) & (label[x][:, None] != label[places][None, :]) & (is_narrow[at:at + 32, None] | is_narrow[None, :])
-                ok &= den * np.minimum(n[x][:, None], n[places][None, :]) >= num * np.maximum(n[x][:, None], n[places][None, :])
-                ok &= (one[x][:, None] & two[places][None, :]) | (two[x][:, None] & one[places][None, :])
-                ok &= node[x][:, None] < node[places][None, :]
-                p, q = np.nonzero(ok)
-                found.append((node[x[p]], node[places[q]]))
+                p, q = np.nonzero(apart <= most)
+                p += at
+                x, y = places[p], places[q]
+                ok = (label[x] != label[y]) & (is_narrow[p] | is_narrow[q]) & (node[x] < node[y])
+                ok &= (one[x] & two[y]) | (two[x] & one[y])
+                ok &= den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+                p, q, x, y = p[ok], q[ok], x[ok], y[ok]
+                ok = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= (n[x] + n[y]) * (den - num) // (den + num)
+                found.append((node[x[ok]], node[y[ok]]))
         a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -367,12 +373,14 @@ def similar_sets(
     # nodes which share buckets that are not of one component yet, directly or through others, form a group
     placed = ranked.join(labels, "node")
     open_ = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("m")).where("x < y").select("bucket", "m")
-    roots = connect(placed.join(open_, "bucket").select("node", "m"))
+    roots = cut(connect(placed.join(open_, "bucket").select("node", "m")))
     rows = roots.join(sketches, "node").join(labels, "node").select("root", "node", "n", "label", "sketch")
     sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_BLOCK)).cast("int").alias("blocks"))
     rows = rows.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("root", "i", "j", "own", "node", "n", "label", "sketch")
+    sent = sizes.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("nodes")), "root").agg(F.sum(F.col("blocks") * F.col("nodes"))).first()[0]
+    rows = rows.repartition(pieces_of(sent or 0, 2 * GROUP_BLOCK), "root", "i", "j")  # tasks of like work, however few bytes
     likely = cut(rows.groupBy("root", "i", "j").applyInArrow(_compare(num, den), "a bigint, b bigint"))
     if not spanning:
         likely = likely.join(links, ["a", "b"], "left_anti")
