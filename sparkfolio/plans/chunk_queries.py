@@ -121,3 +121,23 @@ def json_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").cast("string").alias("file_path"), F.lit("event.json").alias("source"), F.col("props").alias("content")
     )
     return cg.json_chunks(spread(e)).select(F.col("file_path").cast("long").alias("event_id"), "idx", "text", "content_kind")
+
+
+GUARD = 400  # tokens of two characters
+_FITS = "ceil(length({}) / 2) <= " + str(GUARD)
+_HALF = f"list_reduce(list_concat([base], list_transform(range(80), lambda i: '')), lambda t, x: CASE WHEN {_FITS.format('t')} OR length(t) <= 32 THEN t ELSE {sq.trim('substr(t, 1, greatest(32, length(t) * 3 // 4)::INT)')} END)"
+
+
+@query("embedding_guard", f"""
+    WITH d AS (SELECT doc_id, {sq.trim('text')} AS t FROM documents),
+    s AS (SELECT doc_id, t, {sq.sentences('t')} AS raw FROM d),
+    p AS (SELECT doc_id, t, list_filter(list_transform(raw, lambda x: {sq.trim('x')}), lambda x: x <> '') AS ss FROM s),
+    k AS (SELECT *, CASE WHEN len(ss) >= 3 THEN list_max(list_filter(range(2, len(ss)), lambda n: {_FITS.format("array_to_string(ss[1:n], ' ')")})) END AS n,
+            CASE WHEN len(ss) >= 3 THEN array_to_string(ss[1:2], ' ') ELSE t END AS base FROM p),
+    q AS (SELECT *, {_HALF} AS cut FROM k)
+    SELECT doc_id, CASE WHEN {_FITS.format('t')} THEN t WHEN n IS NOT NULL THEN array_to_string(ss[1:n], ' ')
+      WHEN {_FITS.format('cut')} THEN cut ELSE substr(t, 1, 256) END AS shortened FROM q""")
+def embedding_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    tokens = lambda c: F.ceil(F.length(c) / 2)
+    return d.select("doc_id", cg.shorten_for_embedding(F.col("text"), tokens, GUARD).alias("shortened"))
