@@ -141,3 +141,15 @@ def embedding_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     tokens = lambda c: F.ceil(F.length(c) / 2)
     return d.select("doc_id", cg.shorten_for_embedding(F.col("text"), tokens, GUARD).alias("shortened"))
+
+
+@query("json_outline", """
+    SELECT concat('part/', p_partkey, '.json') AS file_path, 0 AS idx, concat('- ', p_name, chr(10), '- ', p_type) AS text, 'body' AS content_kind FROM part""")
+def json_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents which hold nothing but a reference list."""
+    p = spread(table(spark, sf_dir, "part"))
+    docs = p.select(
+        F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("source"), F.concat(F.lit("part/"), "p_partkey", F.lit(".json")).alias("file_path"),
+        F.to_json(F.struct(F.array("p_name", "p_type").alias("references"))).alias("content"),
+    )
+    return cg.json_chunks(docs).select("file_path", "idx", "text", "content_kind")
