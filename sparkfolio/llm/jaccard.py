@@ -387,7 +387,7 @@ def similar_sets(
     more = verified(likely)
     links = links.unionAll(more)
     if spanning:
-        return sets, links, _relabel(labels, more)
+        return sets, links, _relabel(labels, more) if more.take(1) else labels
     return sets, links, _relabel(labels, links)
 
 
