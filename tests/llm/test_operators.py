@@ -246,6 +246,66 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
 
 
+def edited(rng, words, kind, count):
+    out = list(words)
+    for _ in range(count):
+        at = rng.randrange(len(out))
+        if kind == "insert":
+            out.insert(at, rng.choice(WORDS))
+        elif kind == "delete":
+            del out[at]
+        else:
+            out[at] = rng.choice(WORDS)
+    return out
+
+
+def brute_similar(a, b, least, similarity):
+    """Whether any spans of least words or a little more, one of each, have the Jaccard similarity of 5-word shingles."""
+    def spans(words):
+        return [{tuple(words[k:k + 5]) for k in range(s, s + n - 4)} for n in range(least, least + 13) for s in range(len(words) - n + 1)]
+
+    right = spans(b)
+    return any(len(x & y) >= similarity * len(x | y) - 1e-9 for x in spans(a) for y in right)
+
+
+def near_passages():
+    rng = random.Random(21)
+    rows, want = [], []
+    for n in (50, 52, 55, 58, 60):
+        for kind in ("insert", "delete", "replace"):
+            for count in (1, 2):
+                base = prose(rng, n).split()
+                a = [*prose(rng, 3).split(), *base, *prose(rng, 3).split()]
+                b = [*prose(rng, 3).split(), *edited(rng, base, kind, count), *prose(rng, 3).split()]
+                want.append(brute_similar(a, b, 50, 0.8))
+                rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    return rows, want
+
+
+def test_near_passages_are_found_as_by_brute_force(spark):
+    rows, want = near_passages()
+    # an inserted and a deleted word in the middle of 60
+    for mark in "mn":
+        base = [f"{mark}{i}" for i in range(60)]
+        changed = [*base[:30], "new", *base[30:]] if mark == "m" else [*base[:30], *base[31:]]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(changed))]
+        want.append(True)
+    found = {r["doc_id"] for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    assert [2 * k in found and 2 * k + 1 in found for k in range(len(want))] == want
+    assert sum(want) > 15 and not all(want)
+
+
+def test_few_windows_at_the_threshold_share_no_signature():
+    rng = np.random.default_rng(4)
+    missed = 0
+    for _ in range(1500):
+        a = rng.integers(0, 2 ** 63, 46, dtype=np.uint64)
+        b = a.copy()
+        b[rng.permutation(46)[:5]] = rng.integers(0, 2 ** 63, 5, dtype=np.uint64)  # 41 of 51
+        missed += not np.intersect1d(passages.signatures(a, 46)[0], passages.signatures(b, 46)[0]).size
+    assert missed <= 4
+
+
 def test_compact_windows_cover_every_run():
     rng = np.random.default_rng(2)
     for values in (rng.integers(0, 50, 60).astype(np.uint64), np.zeros(40, np.uint64)):
