@@ -306,6 +306,24 @@ def test_few_windows_at_the_threshold_share_no_signature():
     assert missed <= 4
 
 
+def test_every_place_and_partner_has_a_row(spark):
+    rng = random.Random(31)
+    p, q, z, tail = prose(rng, 60), prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(0, f"{prose(rng, 20)} {z}"), (1, f"{prose(rng, 30)} {p} {prose(rng, 30)}"), (5, f"{p} {q} {prose(rng, 50)}"), (9, f"{z} {q} {prose(rng, 9)}"),
+            (12, f"{p} {prose(rng, 70)} {p}"), (20, tail), (None, f"{tail} {prose(rng, 60)}"), (None, f"{prose(rng, 60)} {tail}")]
+    found = {(r["doc_id"], r["start"], r["n_words"], r["other"]) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+
+    def held(doc, at, other):
+        return any(d == doc and o == other and s <= at and s + n >= at + 60 for d, s, n, o in found)
+
+    assert held(5, 0, 1) or held(5, 0, 12)
+    assert held(5, 60, 9) and held(9, 60, 5) and held(9, 0, 0) and held(0, 20, 9)
+    assert held(12, 0, 1) == held(12, 130, 1) and held(12, 0, 5) == held(12, 130, 5) and (held(12, 0, 1) or held(12, 0, 5))
+    # texts which only rows without an id hold
+    assert held(None, 0, 20) or held(None, 60, 20)
+    assert {s for d, s, n, o in found if d is None} == {0, 60}
+
+
 def test_compact_windows_cover_every_run():
     rng = np.random.default_rng(2)
     for values in (rng.integers(0, 50, 60).astype(np.uint64), np.zeros(40, np.uint64)):
