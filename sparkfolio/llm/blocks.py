@@ -13,12 +13,15 @@ UNSEEN = frozenset("script style noscript template title textarea select option
 CLOSED_BY_NEXT = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"})}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
+QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/>]){QUOTED}(?<=/)>"
+    rf"|<(script|style|noscript|template|textarea|svg|iframe)(?=[\s/>])(?:{QUOTED}|[^>]*)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({QUOTED})(?:>|\Z)|[^<]+|<",
     re.DOTALL | re.IGNORECASE)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+NAMED = frozenset(("class", "id", "role"))
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 PART = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -31,6 +34,12 @@ class Block:
     words: list[str] = field(default_factory=list)
 
 
+def _hides(name: str, value: str) -> bool:
+    if name == "hidden":
+        return value.strip().lower() != "until-found"
+    return (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and bool(UNSHOWN.search(value)))
+
+
 def blocks(html: str | None) -> list[Block]:
     """The page's leaf texts in order; character references decoded, white space made one space, empty ones left out.
 
@@ -105,10 +114,12 @@ def blocks(html: str | None) -> list[Block]:
                     break
         attributes = m.group(4) or ""
         named: list[str] = []
-        if "=" in attributes:
-            for value in NAMED.finditer(attributes):
-                named += ["." + w.lower() for w in PART.split(value.group(1) or value.group(2) or value.group(3) or "") if w]
-        hidden = tag in UNSEEN or bool(attributes and HIDDEN.search(attributes))
+        hidden = tag in UNSEEN
+        for name, *values in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), "".join(values)
+            hidden = hidden or _hides(name, value)
+            if name in NAMED:
+                named += ["." + w.lower() for w in PART.split(value) if w]
         unseen += hidden
         stack.append((tag, tuple(named[:8]), hidden))
         if attributes.rstrip().endswith("/") and tag not in ("p", "div", "li"):

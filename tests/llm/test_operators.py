@@ -410,3 +410,18 @@ def test_given_pages(spark):
 
     for r in queries.QUERIES["op1_html_extraction"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect():
         assert r["text"] == "\n".join(b.text for b in blocks(r["html"]) if "article" in b.path)
+
+
+def test_only_hidden_elements_are_unseen():
+    from sparkfolio.llm.blocks import blocks
+
+    seen = ['<body class="overflow-x-hidden">{}</body>', '<article style="overflow:hidden">{}</article>', '<div class="hidden-print">{}</div>', '<div aria-hidden="false">{}</div>',
+            '<div hidden="until-found">{}</div>', "<div data-hidden data-x='hidden'>{}</div>", '<svg viewBox="0 0 1 1"/><p>{}</p>', "<svg-icon></svg-icon><p>{}</p>", '<svg><path d="a>b"/></svg><p>{}</p>',
+            '<script-x></script-x><div title="display:none">{}</div>']
+    unseen = ["<div hidden>{}</div>", '<div hidden="">{}</div>', "<div HIDDEN=hidden>{}</div>", "<div aria-hidden=true>{}</div>", '<div style="color:red; display : none !important">{}</div>',
+              "<script>{}</script>", '<svg class="x"><text>{}</text></svg>', '<iframe src="x"/>{}</iframe>']
+    for page in seen:
+        assert [b.text for b in blocks(page.format("a text"))] == ["a text"], page
+    for page in unseen:
+        assert not blocks(page.format("a text")), page
+    assert blocks("<p>a <svg class='i'/>b</p>")[0].text == "a b"
