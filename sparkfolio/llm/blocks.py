@@ -121,7 +121,7 @@ def blocks(html: str | None) -> list[Block]:
             if name in NAMED:
                 named += ["." + w.lower() for w in PART.split(value) if w]
         unseen += hidden
-        stack.append((tag, tuple(named[:8]), hidden))
+        stack.append((tag, tuple(named), hidden))
         if attributes.rstrip().endswith("/") and tag not in ("p", "div", "li"):
             close(len(stack) - 1)
     end()

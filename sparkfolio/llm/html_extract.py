@@ -16,7 +16,7 @@ from sparkfolio.llm.blocks import Block, blocks
 from sparkfolio.llm.common import carry, restore
 from sparkfolio.llm.page_maker import MARK, Maker
 
-PATHS, WORDS, PLAIN = 192, 64, 8
+PATHS, WORDS, PLAIN = 512, 64, 8
 
 
 @lru_cache(50_000)
@@ -25,16 +25,24 @@ def _place(token: str, size: int) -> int:
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    """One row a block: hashed tag path, hashed words, and a few plain measures."""
+    """One row a block: its whole hashed tag path, far elements with less weight, all its hashed words, and a few plain measures."""
     out = np.zeros((len(page), PATHS + WORDS + PLAIN), np.float32)
     for i, (row, b) in enumerate(zip(out, page, strict=True)):
-        for token in b.path[-24:]:
-            row[_place(token, PATHS)] = 1
+        elements: list[list[str]] = []
+        for token in b.path:
+            if token[0] != "." or not elements:
+                elements.append([])
+            elements[-1].append(token)
+        for up, element in enumerate(reversed(elements)):
+            weight = max(0.5, 1 - up / 40)
+            for token in element:
+                place = _place(token, PATHS)
+                row[place] = max(row[place], weight)
         if b.path:
             row[_place("leaf " + next(t for t in reversed(b.path) if t[0] != "."), PATHS)] = 1
         words = b.text.split()
-        for word in words[:12]:  # the first words say what a short block is; long ones are known by their length
-            row[PATHS + _place(word.lower(), WORDS)] = 0.5
+        told = np.bincount([_place(word.lower(), WORDS) for word in words], minlength=WORDS)
+        row[PATHS:PATHS + WORDS] = np.log2(1 + told) * (0.5 * min(1.0, (12 / max(1, len(words))) ** 0.5))
         n, length = len(words), len(b.text)
         row[-PLAIN:] = (np.log1p(n) / 5, b.linked / max(1, length), length / max(1, n) / 10, b.text[-1] in ".!?:…", n < 5, i / len(page), 1 / (1 + i), b.depth / 10)
     return out

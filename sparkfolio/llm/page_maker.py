@@ -21,6 +21,8 @@ KINDS = {
 }
 ARTICLE = "content article post entry story post-content article-body entry-content main text body-text page-content".split()
 
+UTILITIES = "d flex row col grid md lg sm px py mx my mt mb pt align items justify center between start end gap w full h auto relative absolute text bg border rounded shadow gray white dark leading font bold wrap hover focus hidden block inline max min overflow scroll".split()
+
 
 class Maker:
     def __init__(self, seed: int) -> None:
@@ -55,6 +57,20 @@ class Maker:
             words[i] = f'<{tag} href="/{self.word()}">{words[i]}</{tag}>' if tag == "a" else f"<{tag}>{words[i]}</{tag}>"
         return " ".join(words).replace(" & ", " &amp; ")
 
+    def utility(self) -> str:
+        return " ".join("-".join(self.any(*UTILITIES) for _ in range(int(self.rng.integers(1, 4)))) for _ in range(int(self.rng.integers(2, 8))))
+
+    def nested(self, inner: str) -> str:
+        """Within some elements whose classes say how they look, in part of the cases."""
+        for _ in range(int(self.rng.integers(1, 7)) if self.chance(0.45) else 0):
+            tag = self.any("div", "div", "div", "section", "my-" + self.word().encode("ascii", "ignore").decode())
+            inner = f'<{tag} class="{self.utility()}">{inner}</{tag}>'
+        return inner
+
+    def styled(self, names: str) -> str:
+        """Class words, in part of the cases among such that say how the element looks."""
+        return names if self.chance(0.75) else self.any(f"{names} {self.utility()}", f"{self.utility()} {names}")
+
     def links(self, low: int, high: int) -> list[str]:
         return [f'<a href="/{self.word()}">{" ".join(self.words(int(self.rng.integers(1, 6)))).capitalize()}</a>' for _ in range(int(self.rng.integers(low, high)))]
 
@@ -68,7 +84,7 @@ class Maker:
             if kind == "sidebar":
                 inner = f"<h3>{phrase}</h3>" + inner + (f"<p>{self.prose(5, 40)}</p>" if self.chance(0.4) else "")
         elif kind == "comments":
-            inner = f"<h3>{phrase}</h3>" + "".join(
+            inner = self.any(f"<h3>{phrase}</h3>", "") + "".join(
                 f'<{t} class="{self.any("comment", "reply", "comment-body", "c")}"><p>{self.word().capitalize()} {self.any("says", "wrote", "")}</p><p>{self.prose(4, 60)}</p></{t}>'
                 for t in [self.any("div", "li", "article")] for _ in range(int(self.rng.integers(1, 6))))
         elif kind == "form":
@@ -79,12 +95,13 @@ class Maker:
             inner = self.any(f"<h1>{self.prose(2, 6)}</h1>", f"<div>{phrase}</div>", f"<p>{self.prose(2, 8)}</p>") + (" ".join(self.links(1, 4)) if self.chance(0.4) else "")
         else:
             inner = self.any(f"{self.prose(2, 30)}", f"<p>{phrase}</p><p>{self.prose(3, 25)}</p>", f"<p>{phrase} {self.prose(2, 20)}</p>" + " ".join(self.links(0, 3)))
+        inner = self.nested(inner)
         if self.chance(0.5):
-            tag, named = tag, self.any("", f' class="{self.any(*names.split())}"')
+            tag, named = tag, self.any("", f' class="{self.styled(self.any(*names.split()))}"')
             if tag == "div" and not named:
-                named = f' class="{self.any(*names.split())}"'
+                named = f' class="{self.styled(self.any(*names.split()))}"'
         else:
-            tag, named = self.any("div", "div", "section"), f' {self.any("class", "id")}="{self.any(*names.split())}{self.any("", "", " " + self.word(), "-" + self.word())}"'
+            tag, named = self.any("div", "div", "section"), f' {self.any("class", "id")}="{self.styled(self.any(*names.split()) + self.any("", "", " " + self.word(), "-" + self.word()))}"'
         return f"<{tag}{named}>{inner}</{tag}>"
 
     def article(self) -> str:
@@ -108,14 +125,14 @@ class Maker:
                 out.append(f"<pre>{say(3, 30)}</pre>")
             else:
                 out.append(self.other(self.any("advert", "advert", "share", "form", "sidebar", "notice")))
-        inner = "".join(out)
+        inner = self.nested("".join(out))
         plain = self.rng.random()
         if plain < 0.5:
             return f"<article>{inner}</article>"
         if plain < 0.62:
             return f"<main>{self.any(inner, f'<article>{inner}</article>')}</main>"
         if plain < 0.94:
-            return f'<{(t := self.any("div", "div", "section", "article", "main"))} {self.any("class", "id")}="{self.any(*ARTICLE, self.word())}">{inner}</{t}>'
+            return f'<{(t := self.any("div", "div", "section", "article", "main"))} {self.any("class", "id")}="{self.styled(self.any(*ARTICLE, self.word()))}">{inner}</{t}>'
         return inner
 
     def page(self) -> str:
@@ -126,6 +143,7 @@ class Maker:
         body = "".join(before) + self.article() + "".join(after)
         if self.chance(0.3):
             body = f'<div class="{self.any("page", "wrapper", "container", self.word())}">{body}</div>'
+        body = self.nested(body)
         if self.chance(0.1):
             body = body[: int(len(body) * self.rng.uniform(0.6, 1))]
         return f"<html><head><title>{self.prose(2, 8)}</title><style>p{{margin:0}}</style></head><body>{body}</body></html>"

@@ -425,3 +425,21 @@ def test_only_hidden_elements_are_unseen():
     for page in unseen:
         assert not blocks(page.format("a text")), page
     assert blocks("<p>a <svg class='i'/>b</p>")[0].text == "a b"
+
+
+def test_the_labeller_reads_whole_paths_and_texts():
+    from sparkfolio.llm.blocks import blocks
+
+    wrap = '<div class="d-flex flex-row align-items-center justify-content-between px-md">' * 5
+    said = "we tell the readers of this page that it keeps some small files here and that they may {} so"
+    for one, two in ((f"<nav>{wrap}a b", f"<article>{wrap}a b"), (f"<section class=comments>{wrap}a b", f"<section class=story>{wrap}a b"),
+                     ('<div class="d-flex flex-row align-items-center justify-content-between sidebar">a b', '<div class="d-flex flex-row align-items-center justify-content-between story">a b'),
+                     (said.format("consent"), said.format("wander"))):
+        (a,), (b,) = blocks(one), blocks(two)
+        assert (html_extract.vectors([a]) != html_extract.vectors([b])).any(), one
+    model = html_extract.trained()
+    text = "<p>A sentence of the article, which is long enough to be read, and another one.</p>" * 4
+    for part in (f"<nav>{wrap}<a href=/>Home</a>", f'<section class="comments">{wrap}<p>Bob says</p><p>I like this a lot, and the others too.</p>', f"<footer>{wrap}<p>All rights reserved</p>"):
+        page = blocks(f"<body><article>{wrap}<h1>A title</h1>{text}{'</div>' * 5}</article>{part}{'</div>' * 5}")
+        chance = model.label([html_extract.vectors(page)])[0]
+        assert [c >= 0.5 for c in chance] == ["article" in b.path for b in page], part
