@@ -25,22 +25,25 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     A key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased; shorter than ``min_chars`` code points
     it never counts. Returns the input's columns with the text replaced, and ``n_lines`` and ``n_dropped``.
 
-    Null text counts as one empty line and stays null; empty text is one empty line. A row is a document: rows which
-    repeat a doc_id count separately, and all rows of the largest doc_id keep their lines. A null doc_id is smaller than
+    Null text counts as one empty line and stays null; empty text is one empty line. Rows which repeat a
+    doc_id count as one document, so do rows without one, and all rows of the largest doc_id keep their lines. A null doc_id is smaller than
     any other. An empty table gives an empty result. Input columns called n_lines or n_dropped are replaced.
 
-    Plan: one scan hashes the lines (written once, a few bytes a line). Counts combine before their shuffle; only keys over
-    the threshold go on. A hot line's rows meet its one key in a join whose large partitions Spark splits. Texts are
+    Plan: one scan hashes the lines (written once, a few bytes a line). Counts of rows combine before their shuffle; only
+    keys over the threshold go on, to have their documents counted. A hot line's rows meet its one key in a join whose large partitions Spark splits. Texts are
     shuffled once, to meet their dropped positions.
     """
     rows = carry(docs, id=doc_id, text=text)
     rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     keyed = cut(rows.select("id", "mark", _keys(F.col("lines"), min_chars).alias("keys")).where(F.exists("keys", lambda k: k.isNotNull())))
     held = keyed.select("id", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
-    common = cut(
+    often = cut(
         held.groupBy(F.col("key.a").alias("a"), F.col("key.b").alias("b"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select("a", "b", "last")
     )
+    # rows are at least as many as documents; of what is left, documents count once
+    once = held.select("id", F.col("key.a").alias("a"), F.col("key.b").alias("b")).join(often, ["a", "b"]).select("a", "b", "id", "last").distinct()
+    common = cut(once.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last")).where(F.col("n") >= min_docs).select("a", "b", "last"))
     places = keyed.select("id", "mark", F.posexplode("keys").alias("pos", "key")).where("key is not null")
     places = places.select("id", "mark", "pos", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
     dropped = (

@@ -65,6 +65,14 @@ def test_line_dedup(spark):
     assert {"row", "id", "n", "n_lines"} <= set(line_dedup.dedup_lines(frame(spark, [])).columns)
 
 
+def test_a_repeated_id_is_one_document_for_its_lines(spark):
+    line = "a line of forty characters or more, which stays"
+    rows = [(1, f"{line}\n{i}") for i in range(4)] + [(2, line)] + [(None, line)] * 2
+    assert line_dedup.dedup_lines(frame(spark, rows)).where("n_dropped > 0").count() == 0
+    rows += [(3, line), (4, line)]
+    assert line_dedup.dedup_lines(frame(spark, rows)).where("n_dropped > 0").count() == 8
+
+
 # ---------------------------------------------------------------- op7
 
 def brute_components(rows, width, num, den):
