@@ -41,6 +41,19 @@ def carry_forward(
     )
 
 
+def running_sum(df: DataFrame, keys: list[str], block: Column, order: list, value: Column, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows of ``keys`` up to each row, in the order of ``block``, then ``order``.
+
+    ``block`` never falls as the order goes on. Frames run inside a block; one sum per block goes on to later ones.
+    """
+    marked = df.withColumns({"_block": block, "_value": value})
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
+    sums = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    return marked.join(sums, [*keys, "_block"]).withColumn(name, F.sum("_value").over(inside) + F.col("_before")).drop("_block", "_value", "_before")
+
+
 def with_history(turns: DataFrame) -> DataFrame:
     """Add prev_question and prev_answer to every turn of (conv_id, turn, role, text).
 

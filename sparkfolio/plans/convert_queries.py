@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from sparkfolio import lexicon as lx
 from sparkfolio.functions import markup as mk
 from sparkfolio.functions import templates as tp
 from sparkfolio.operators import bibtex, carry, convert
-from sparkfolio.operators.lineage import ensure_checkpoint_dir
 from sparkfolio.plans import chunk_queries, derived
 from sparkfolio.plans import sqltext as sq
 from sparkfolio.plans.registry import query, spread, table
@@ -263,22 +260,3 @@ def union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(F.upper("k").alias("key")).agg(F.min_by("k", F.struct("src", "ord")).alias("first_spelling")).select(
         F.col("key").alias("k"), "first_spelling"
     )
-
-
-@query("table_commit", """
-    WITH base AS (SELECT CAST(s_suppkey AS VARCHAR) AS template_id, s_name AS name, 't0' AS created_at, 't0' AS updated_at, s_acctbal FROM supplier),
-    changed AS (SELECT template_id, CASE WHEN s_acctbal < 0 THEN upper(name) ELSE name END AS name, created_at,
-                       CASE WHEN s_acctbal < 0 THEN 't1' ELSE updated_at END AS updated_at FROM base WHERE s_acctbal <= 9000)
-    SELECT * FROM changed UNION ALL SELECT concat('c', c_custkey), c_name, 't1', 't1' FROM customer""")
-def table_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyed table written three times, new, changed and with rows deleted, and read back."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    columns = "template_id string, name string, created_at string, updated_at string"
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("template_id"), F.col("s_name").alias("name"), "s_acctbal")
-    tables.commit(tables.upsert(tables.current(spark, path, columns), s.drop("s_acctbal"), "template_id", F.lit("t0")), path)
-    new = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("template_id"), F.col("c_name").alias("name"))
-    changes = s.filter("s_acctbal < 0").select("template_id", F.upper("name").alias("name")).unionByName(new)
-    tables.commit(tables.upsert(tables.current(spark, path, columns), changes, "template_id", F.lit("t1")), path)
-    tables.commit(tables.delete_keys(tables.current(spark, path, columns), s.filter("s_acctbal > 9000"), "template_id"), path)
-    return tables.current(spark, path, columns)
