@@ -17,7 +17,7 @@ from sparkfolio.llm.common import LOWER, UPPER, carry, cut
 TERM_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode()).translate(
     bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256)))
 FLUSH_TERMS = 500_000  # distinct terms of groups a task holds before it passes its counts on
-BLOCK = 1_000_000  # postings of a language in one block of its index
+BLOCK = 20_000  # postings of a language in one block of its index, at least
 SCALE = 1_000_000_000
 
 
@@ -140,9 +140,9 @@ def audit(
     pairs. An empty table gives an empty result. Other columns play no part.
 
     Plan: one scan counts terms a task at a time; the counts shuffle once. The term-major index is dealt into blocks of
-    about ``block`` postings of one language, the blocks of a language being as many as its postings need, so a language
-    with most of the rows has most of the blocks. A block meets the list of its language's sources. Its results are as
-    large as the answer, and add up before their shuffle.
+    about ``block`` postings of one language, or the square of its sources if that is more; so a language with most of the
+    rows has most of the blocks, and what a block adds is no more than it reads. A block meets the list of its language's
+    sources. Its results add up before their shuffle.
     """
     empty = F.lit("")
     rows = carry(docs, text=text, lang=lang, source=source).select(
@@ -163,7 +163,7 @@ def audit(
         frequency(F.col("of_lang"), F.col("lang_total"), F.col("terms")).alias("of_lang"))
     scored = cut(scored)
 
-    sizes = groups.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.sum("held") / F.lit(block))).cast("int").alias("blocks"))
+    sizes = groups.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.sum("held") / F.greatest(F.lit(block), F.count(F.lit(1)) * F.count(F.lit(1))))).cast("int").alias("blocks"))
     dealt = scored.join(sizes, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "p")
     lists = groups.join(sizes, "lang").select(  # under names of their own: both sides come from the same rows
         F.col("lang").alias("in_lang"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("in_block"), F.col("source").alias("name"), "zero", "held", "terms")

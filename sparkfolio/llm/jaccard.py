@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,7 @@ class PartEnum:
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
         self.ends = [1]  # of the bands
+        self.shapes: dict[int, tuple[int, int, int, tuple, int]] = {}
 
     def band(self, size: int) -> int:
         while self.ends[-1] < size:
@@ -69,25 +70,38 @@ class PartEnum:
             self.band(self.ends[-1] + 1)
         return 2 * self.ends[band] * (self.den - self.num) // (self.den + self.num)
 
-    @staticmethod
-    @lru_cache(4096)
-    def shape(k: int) -> tuple[int, int, tuple, int]:
-        """n1, n2, the choices of cells, spare."""
-        if k <= 8:
-            return k // 2 + 2, 3, ((0, 1), (0, 2), (1, 2)), 1
-        return k + 3, 1, ((0,),), 2
+    def shape(self, band: int) -> tuple[int, int, int, tuple, int]:
+        """k, n1, n2, the choices of cells, spare; the same for all sets that sign in the band.
+
+        With one cell a part, so many parts are spare as the smallest of these sets is expected to leave empty, three
+        standard deviations and one more: then hardly a set is dealt twice.
+        """
+        if band not in self.shapes:
+            k = self.differing(band)
+            if k <= 8:
+                self.shapes[band] = k, k // 2 + 2, 3, ((0, 1), (0, 2), (1, 2)), 1
+            else:
+                least = self.num * (self.ends[band - 1] + 1) / self.den
+                spare, empty = 2, 0.0
+                while True:
+                    empty = (k + 1 + spare) * math.exp(-least / (k + 1 + spare))
+                    if empty + 3 * math.sqrt(empty) + 1 <= spare:
+                        break
+                    spare += 1
+                self.shapes[band] = k, k + 1 + spare, 1, ((0,),), spare
+        return self.shapes[band]
 
     def __call__(self, items: np.ndarray) -> np.ndarray:
         out = []
         if len(items):
             own = self.band(len(items))
             for band in (own, own + 1):
-                if (k := self.differing(band)) > 0:  # sets which differ in nothing are equal
-                    out += self._signed(items, band, k)
+                if self.shape(band)[0] > 0:  # sets which differ in nothing are equal
+                    out += self._signed(items, band)
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
-    def _signed(self, items: np.ndarray, band: int, k: int) -> list[np.ndarray]:
-        n1, n2, choices, spare = self.shape(k)
+    def _signed(self, items: np.ndarray, band: int) -> list[np.ndarray]:
+        _, n1, n2, choices, spare = self.shape(band)
         out = []
         for deal in range(self.DEALS):
             dealt = mix(items + np.uint64((deal + 1) * ODD & ALL))
