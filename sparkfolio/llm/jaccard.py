@@ -74,7 +74,8 @@ class PartEnum:
         """k, n1, n2, the choices of cells, spare; the same for all sets that sign in the band.
 
         With one cell a part, so many parts are spare as the smallest of these sets is expected to leave empty, three
-        standard deviations and one more: then hardly a set is dealt twice.
+        standard deviations and one more: then hardly a set is dealt twice. Where no number up to ``k + 1`` is enough, since
+        each spare part adds an empty one, it is the number that lacks least, and some sets are dealt anew.
         """
         if band not in self.shapes:
             k = self.differing(band)
@@ -82,12 +83,13 @@ class PartEnum:
                 self.shapes[band] = k, k // 2 + 2, 3, ((0, 1), (0, 2), (1, 2)), 1
             else:
                 least = self.num * (self.ends[band - 1] + 1) / self.den
-                spare, empty = 2, 0.0
-                while True:
+
+                def lacking(spare: int) -> float:
                     empty = (k + 1 + spare) * math.exp(-least / (k + 1 + spare))
-                    if empty + 3 * math.sqrt(empty) + 1 <= spare:
-                        break
-                    spare += 1
+                    return empty + 3 * math.sqrt(empty) + 1 - spare
+
+                choice = range(2, k + 2)
+                spare = next((x for x in choice if lacking(x) <= 0), min(choice, key=lacking))
                 self.shapes[band] = k, k + 1 + spare, 1, ((0,),), spare
         return self.shapes[band]
 

@@ -451,3 +451,21 @@ def test_the_labeller_reads_whole_paths_and_texts():
         page = blocks(f"<body><article>{wrap}<h1>A title</h1>{text}{'</div>' * 5}</article>{part}{'</div>' * 5}")
         chance = model.label([html_extract.vectors(page)])[0]
         assert [c >= 0.5 for c in chance] == ["article" in b.path for b in page], part
+
+
+@pytest.mark.parametrize(("num", "den"), [(1, 2), (7, 10), (80, 100), (85, 100), (95, 100)])
+def test_part_enum_shapes(num, den):
+    sign = jaccard.PartEnum(num, den)
+    for band in range(1, sign.band(100_000)):
+        k, n1, n2, choices, spare = sign.shape(band)
+        assert n1 == k + 1 + spare <= 2 * k + 2 if n2 == 1 else k <= 8 and len(choices) == 3
+
+
+@pytest.mark.parametrize("num", [70, 80, 85])
+def test_part_enum_shares_a_signature(num):
+    rng, sign = np.random.default_rng(num), jaccard.PartEnum(num, 100)
+    for size in [*range(20, 120, 3), 400, 3000]:
+        least = -(-num * size // 100)
+        both = rng.integers(1, 1 << 63, size).astype(np.uint64)
+        one, other = both, both[:least]  # the smallest subset that is still similar
+        assert set(sign(np.sort(one)).tolist()) & set(sign(np.sort(other)).tolist())
