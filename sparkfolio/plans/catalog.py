@@ -7,7 +7,7 @@ import importlib
 from sparkfolio.plans import registry
 
 MODULES = ("text_queries", "question_queries", "chunk_queries", "retrieval_queries", "answer_queries", "window_queries", "evaluation_queries", "convert_queries",
-           "store_queries")
+           "store_queries", "prompt_queries")
 
 
 def load() -> None:
