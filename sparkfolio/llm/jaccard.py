@@ -144,7 +144,8 @@ def _sets(width: int):
         for batch in batches:
             found = [shingle_set(t.translate(TO_LOWER).split(), width) for t in _texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(x) for x in found], pa.int64()), pa.array([_id_of(x) for x in found], pa.int64())], names=["id", "n", "node"])
+                [batch.column("id"), batch.column("mark"), pa.array([len(x) for x in found], pa.int64()), pa.array([_id_of(x) for x in found], pa.int64())],
+                names=["id", "mark", "n", "node"])
 
     return run
 
@@ -245,7 +246,13 @@ def _differ(one: bytes, two: bytes) -> int:
 
 def _bodies(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            new = []
+            for node in batch.column("node").to_pylist():  # rows which repeat an id and its text
+                new.append(node not in seen)
+                seen.add(node)
+            batch = batch.filter(pa.array(new, pa.bool_()))
             words = [t.translate(TO_LOWER).split() for t in _texts(batch.column("text"))]
             sketch = [odd_sketch(shingle_set(w, width)) for w in words]
             body = [zlib.compress(b" ".join(w), 1) for w in words]
@@ -330,9 +337,9 @@ def _verify(width: int, num: int, den: int):
 
 
 def shingle_classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """``id``, ``n`` (size of the shingle set) and ``node`` (its 64-bit id) of each row."""
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return rows.mapInArrow(_sets(width), f"id {docs.schema[doc_id].dataType.simpleString()}, n bigint, node bigint")
+    """``id``, ``mark`` (hash of the text), ``n`` (size of the shingle set) and ``node`` (its 64-bit id) of each row."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{text}`").alias("mark"), F.col(f"`{text}`").cast("binary").alias("text"))
+    return rows.mapInArrow(_sets(width), f"id {docs.schema[doc_id].dataType.simpleString()}, mark bigint, n bigint, node bigint")
 
 
 def similar_sets(
@@ -340,12 +347,12 @@ def similar_sets(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sets, links and labels of all documents whose shingle sets have a Jaccard similarity of num / den or more.
 
-    Sets: ``id``, ``n``, ``node``; rows with equal sets have the same node. Links: the pairs ``a``, ``b`` of different nodes,
+    Sets: ``id``, ``mark``, ``n``, ``node``; rows with equal sets have the same node. Links: the pairs ``a``, ``b`` of different nodes,
     each once. With ``spanning``, pairs which other links connect already may be left out. Labels: ``node``, ``label`` of
     all nodes with a link; nodes have the same label exactly if links connect them.
 
-    Null and empty texts have an empty set, which is linked with nothing. Null ids and repeated rows are kept. An empty
-    table gives empty results.
+    Null and empty texts have an empty set, which is linked with nothing. Null ids and repeated rows are kept, and each of
+    several texts under one id has its own set and links. An empty table gives empty results.
 
     Plan: equal sets fold into one node before anything else. One shuffle brings equal signatures together, sorted on disk
     where need be. Buckets with the same nodes count once. First the node of a bucket which meets most others is tested
@@ -356,7 +363,7 @@ def similar_sets(
     sketches, which no hash spares; they are spread over the tasks.
     """
     sets = cut(shingle_classes(docs, doc_id, text, width))
-    nodes = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("of"), F.first("n").alias("n"))
+    nodes = sets.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("of"), F.first("n").alias("n"))
     rows = docs.select(F.col(f"`{text}`").cast("binary").alias("text"))
     signed = rows.mapInArrow(_signatures(width, num, den), "signature bigint, node bigint")
     found = signed.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_buckets, "bucket bigint, node bigint")
@@ -366,7 +373,8 @@ def similar_sets(
     known = cut(weight.join(nodes, "node"))
     by_rank = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "node")
     ranked = cut(members.join(known.select("node", "weight", "n"), "node").select("bucket", "node", "n", (F.row_number().over(by_rank) - 1).alias("rank")))
-    bodies = stored(_with_node(docs, doc_id, text, known).mapInArrow(_bodies(width), "node bigint, sketch binary, body binary"), "bodies")
+    made = _with_node(docs, doc_id, text, known).mapInArrow(_bodies(width), "node bigint, sketch binary, body binary")
+    bodies = stored(made.dropDuplicates(["node"]), "bodies")
     sketches = bodies.select("node", "sketch").join(known.select("node", "n"), "node")
     labels = known.select("node", F.col("node").alias("label"))
 
@@ -415,12 +423,16 @@ def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
 
 
 def _with_node(docs: DataFrame, doc_id: str, text: str, known: DataFrame) -> DataFrame:
-    """The text of one document of each candidate node; texts move only if the candidates are too many to broadcast."""
-    wanted = known.select("of", "node")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("of"), F.col(f"`{text}`").cast("binary").alias("text"))
+    """The text of one document of each candidate node, once for each row that repeats it.
+
+    A document is known by its id and a hash of its text, since ids may be null or repeat. Texts move only if the
+    candidates are too many to broadcast.
+    """
+    wanted = known.select(F.col("of.id").alias("of"), F.col("of.mark").alias("of_mark"), "node")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{text}`").alias("mark"), F.col(f"`{text}`").cast("binary").alias("text"))
     if known.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    return rows.join(wanted, "of").select("node", "text")
+    return rows.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))).select("node", "text")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -113,6 +113,14 @@ def test_jaccard_components(spark, width, num):
     assert jaccard.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_each_text_of_a_repeated_or_null_id_has_its_links(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    rows = [(5, a), (5, c), (2, near(rng, a, 2)), (None, b), (7, near(rng, b, 2)), (None, c), (None, c), (9, c), (5, c), (5, c)]
+    got = sorted(map(tuple, jaccard.jaccard_components(frame(spark, rows)).select("doc_id", "component_id").collect()), key=str)
+    assert got == sorted([(5, 2), (2, 2), (None, 7), (7, 7), (5, 5), (5, 5), (5, 5), (9, 5), (None, 5), (None, 5)], key=str)
+
+
 def test_all_links(spark):
     rng = random.Random(9)
     hot = prose(rng, 60)

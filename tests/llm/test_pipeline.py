@@ -64,3 +64,23 @@ def test_run_is_the_stages(spark):
         docs = stage(spark, docs, SF)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, docs.select(*cols).collect()))
+
+
+def test_null_and_repeated_ids_in_the_later_stages(spark):
+    words = [f"w{i}" for i in range(300)]
+    a, b, c = (" ".join(words[i:i + 80]) for i in (0, 100, 200))
+    near_a = a.replace("w40 ", "x ")
+    item = table(spark, SF, "benchmark").first()["text"]
+    kind = "doc_id long, text string, key string, row string, mark int"
+    rows = [(5, near_a), (5, b), (2, a), (None, c), (7, c), (9, b), (9, b), (11, ""), (11, None), (11, "")]
+    docs = spark.createDataFrame([(*r, "k", "r", 1) for r in rows], kind)
+    out = corpus_pipeline.distinct(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(2, a), (5, b), (None, c), (11, ""), (11, ""), (11, None)], key=str)
+    twice = spark.createDataFrame([(*r, "k", "r", 1) for r in [(9, b), (9, b), (3, item), (3, a), (None, item), (None, None)]], kind)
+    assert sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.distinct(spark, twice.where("doc_id = 9"), SF).collect())) == [(9, b)]
+    out = corpus_pipeline.clean(spark, twice, SF)
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(9, b), (9, b), (3, a), (None, None)], key=str)
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
