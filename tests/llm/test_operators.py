@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -373,6 +374,34 @@ def test_pseudonyms_go_back_and_forth(spark):
     assert other[6] != got[6] and pseudonyms.pseudonymise(frame(spark, []), "k").count() == 0
 
 
+def test_values_beside_other_numbers_and_words(spark):
+    """By hand: what has to go, and what has to stay around it."""
+    cases = [("card 4111 1111 1111 1111 12/25", "4111 1111 1111 1111", "card 4... .... .... .... 12/25"),
+             ("no 123 4111 1111 1111 1111 end", "4111 1111 1111 1111", "no 123 4... .... .... .... end"),
+             ("IBAN ES91 2100 0418 4502 0005 1332 BIC X", "2100 0418 4502 0005 1332", "IBAN ES.. .... .... .... .... .... BIC X"),
+             ("IBAN DE89 3704 0044 0532 0130 00 UNDER 5", "3704 0044 0532 0130 00", "IBAN DE.. .... .... .... .... .. UNDER 5"),
+             ("NO93 8601 1117 947 PAID", "8601 1117 947", "NO.. .... .... ... PAID"),
+             ("born 25/12/1999.", "25/12/1999", "born ../../....[.]"), ("29/02/2000", "29/02/2000", "29/02/...."), ("31/01/1900", "31/01/1900", "../../....")]
+    made = pseudonyms.pseudonymise(frame(spark, [(i, c[0]) for i, c in enumerate(cases)]), "k1")
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in made.collect()}
+    for i, (text, gone, form) in enumerate(cases):
+        assert gone not in got[i][0] and got[i][1] == 1 and re.fullmatch(form, got[i][0]), (text, got[i])
+    stays = ["29/02/1999", "31/04/1999", "13/13/1999", "00/12/1999", "4111 1111 1111 1112", "ES91 2100 0418 4502 0005 1333 BIC X"]
+    left = pseudonyms.pseudonymise(frame(spark, list(enumerate(stays))), "k1").collect()
+    assert {r["doc_id"]: (r["text"], r["n_replaced"]) for r in left} == {i: (t, 0) for i, t in enumerate(stays)}
+
+
+def test_days_before_months_are_permuted_one_to_one(spark):
+    day = F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(0, 73049).where(F.dayofmonth(day) > 12).where("id % 7 = 0 or id between 36500 and 38000")
+    days = days.select(F.date_format(day, "dd/MM/yyyy").alias("text"))
+    got = pseudonyms.pseudonymise(days, "k")
+    assert got.count() == got.select("text").distinct().count() == days.count()
+    assert got.where("try_to_date(text, 'dd/MM/yyyy') is null or substr(text, 1, 2) <= '12' or n_replaced <> 1").count() == 0
+    back = pseudonyms.pseudonymise(got.drop("n_replaced"), "k", inverse=True).select("text")
+    assert back.exceptAll(days).count() == 0
+
+
 def test_dates_are_permuted_one_to_one(spark):
     days = spark.range(0, 73049, 11).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     got = pseudonyms.pseudonymise(days, "k")
