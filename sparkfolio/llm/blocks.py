@@ -13,13 +13,14 @@ UNSEEN = frozenset("script style noscript template title textarea select option
 CLOSED_BY_NEXT = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"})}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+# a quote opens a value after "=" only; a value whose quote never ends stops at the next ">"
+QUOTED = r"""(?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+"""
 PIECE = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/>]){QUOTED}(?<=/)>"
     rf"|<(script|style|noscript|template|textarea|svg|iframe)(?=[\s/>])(?:{QUOTED}|[^>]*)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<(/?)([a-zA-Z][^\s/>]*)({QUOTED})(?:>|\Z)|[^<]+|<",
     re.DOTALL | re.IGNORECASE)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAMED = frozenset(("class", "id", "role"))
 UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 PART = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -43,16 +44,19 @@ def _hides(name: str, value: str) -> bool:
 def blocks(html: str | None) -> list[Block]:
     """The page's leaf texts in order; character references decoded, white space made one space, empty ones left out.
 
-    Only visible text: no comments, scripts, styles, titles or hidden elements. A page that breaks off, unclosed or
+    Only visible text: no comments, scripts, styles, titles or hidden elements, within a block or around it; one that is
+    not closed within its block ends with the block. A page that breaks off, unclosed or
     crossing tags, and text outside any element are read as far as they go.
     """
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, its words, hidden
     text: list[str] = []
     linked, link_depth, unseen = 0, 0, 0
+    veil, veils = "", 0  # a hidden element within a block, and how many of its tag are open
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, veil
+        veil = ""
         if text:
             whole = " ".join(unescape("".join(text)).split())
             if whole:
@@ -70,7 +74,7 @@ def blocks(html: str | None) -> list[Block]:
     for m in PIECE.finditer(html or ""):
         piece = m.group()
         if piece[0] != "<" or piece == "<":
-            if not unseen:
+            if not unseen and not veil:
                 text.append(piece)
                 if link_depth:
                     linked += len(piece)
@@ -81,8 +85,13 @@ def blocks(html: str | None) -> list[Block]:
         if tag in INLINE:
             if tag == "a":
                 link_depth = 0 if m.group(2) else 1
-            elif tag in ("br", "img", "wbr") and tag != "wbr":
+            elif tag in ("br", "img"):
                 text.append(" ")
+            if veil:
+                veils += (tag == veil) * (-1 if m.group(2) else 1)
+                veil = veil if veils else ""
+            elif not m.group(2) and tag not in VOID and any(_hides(k.lower(), "".join(v)) for k, *v in ATTRIBUTE.findall(m.group(4) or "")):
+                veil, veils = tag, 1
             continue
         if m.group(2):
             for at in range(len(stack) - 1, -1, -1):

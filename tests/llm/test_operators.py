@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkfolio.llm import (components, decontaminate, html_extract, jaccard, licenses, line_dedup, packing, passages, pseudonyms, quality, queries, topk)
+from sparkfolio.llm import (blocks, components, decontaminate, html_extract, jaccard, licenses, line_dedup, packing, passages, pseudonyms, quality, queries, topk)
 
 DOCS = "doc_id long, text string, row string, id string, n long, node long, key string, found string, start long, lines string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -472,6 +472,16 @@ def test_only_hidden_elements_are_unseen():
     assert blocks("<p>a <svg class='i'/>b</p>")[0].text == "a b"
 
 
+def test_quotes_and_hidden_parts():
+    cases = {
+        "<p data-x=it's>Hello world</p>": ["Hello world"], '<p title="abc>Hello</p>': ["Hello"], "<p title='a > b'>Hello</p>": ["Hello"],
+        '<p a = "x>y" b>Hello</p>': ["Hello"], '<p "odd">Hello</p><p>you</p>': ["Hello", "you"], "<p>see <span hidden>not this</span> this</p>": ["see this"],
+        '<p>a <b style="display:none">x <b>y</b> z</b>c</p>': ["a c"], "<p>a <i hidden>x</p><p>b</p>": ["a", "b"], '<svg a="1" b="2"/>after': ["after"],
+        "<svg " + 'a="1" ' * 60 + ">in</svg>out": ["out"], "<p " + 'a="1" ' * 60: [], "<p a=b'c>d<br hidden>e</p>": ["d e"]}
+    for html, want in cases.items():
+        assert [b.text for b in blocks.blocks(html)] == want, html
+
+
 def test_the_labeller_reads_whole_paths_and_texts():
     from sparkfolio.llm.blocks import blocks
 
