@@ -205,8 +205,7 @@ def is_title_or_author_like(c: Column) -> Column:
     return (F.length(t) > 0) & (
         t.rlike(lx.HEADING_LINE)
         | t.rlike(lx.HTML_TAG)
-        | low.contains("design of")
-        | low.contains("based on")
+        | reduce(or_, [low.contains(x) for x in lx.TITLE_PHRASES])
         | (t.contains("；") & t.rlike("\\p{Lu}") & ~t.rlike("[。，]"))
         | (~sentence_marks & has_cjk(t) & t.rlike("[A-Za-z]") & (F.length(t) > 24))
     )

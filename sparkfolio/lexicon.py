@@ -287,6 +287,7 @@ BARE_CITATION = "(?i)\\[c(\\d+)\\]"
 SENTENCE_SPLIT = "(?U)(?<=[。！？!?])(?:\\s+)?|(?<=\\.)\\s+"
 REFERENCE_LINE = "(?iU)^(\\[?\\d+\\]?\\s*)?.{0,80}\\[J\\].*(\\d{4}|\\(\\d+\\)).*$"
 HEADING_LINE = "(?U)^#{1,6}\\s"
+TITLE_PHRASES = ("design of", "based on")  # fixed values: phrases of a title
 HTML_TAG = "<[^>]+>"
 MARKDOWN_IMAGE = "!\\[[^\\]]*\\]\\([^\\)]*\\)"
 MARKDOWN_LINK = "\\[([^\\]]+)\\]\\([^\\)]*\\)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from sparkfolio import lexicon as lx
 from sparkfolio.plans import sqltext as sq
 
+# All patterns and phrases of this module, here and in the functions below, in the checking engine's dialect.
 NOISE = "[\\s,，.。!！?？:：;；/+|、-]+"
 PAPER = "(?:这篇(?:论文|文章|文档|研究)|这份(?:文档|材料))"
 EDGE = "，。？?！!；;：: 、"
