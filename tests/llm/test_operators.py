@@ -217,6 +217,32 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id = 100")).count() == 0
 
 
+def test_top_k_counts_every_row(spark):
+    """Rows which repeat a key, a row without one, and other pairs of a vector whose own square fits no long."""
+    rng = np.random.default_rng(7)
+    rows = [(i % 40 * 10, [float(x) for x in np.round(rng.normal(0, 1, 3), 1)]) for i in range(120)]
+    rows += [(100, rows[3][1]), (100, rows[3][1]), (None, [9.0, -9.0, 9.0]), (7, [2.0 ** 52, 0.0, 1.0]), (200, [-(2.0 ** 50), 1.0, 0.0]), (300, [0.0, 0.5, 1e308])]
+    ints = [[int(np.floor(1024 * x)) if abs(x) < 1e300 else int(x) * 1024 for x in v] for _, v in rows]
+    want = []
+    for i, (q, _) in enumerate(rows):
+        if q is not None and q % 100 == 0:
+            scores = [(sum(a * b for a, b in zip(ints[i], v)), rows[j][0]) for j, v in enumerate(ints) if j != i]
+            best = sorted(((-s, k is None, k) for s, k in scores if abs(s) < 2 ** 63))[:10]
+            want += [(q, n + 1, k, -s) for n, (s, _, k) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in topk.top_k(df, block=50, query_block=3, bins=16).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_top_k_counts_a_score_once(spark):
+    """Where bins don't divide the range, the last bin reaches beyond it, into scores counted before."""
+    rows = [(0, [1 / 1024])] + [(i, [i / 1024]) for i in range(1, 1025)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for bins, k in ((5, 24), (16, 117)):
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, every=2000, k=k, bins=bins).collect())
+        assert got == [(n + 1, i, i) for n, i in enumerate(range(1024, 1024 - k, -1))]
+
+
 # ---------------------------------------------------------------- op4, op5
 
 def test_contaminated(spark):
