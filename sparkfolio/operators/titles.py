@@ -19,6 +19,11 @@ PREFER_JSON_INTENTS = (
 )
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """Questions and titles grow with the corpus, and files say little about their rows: neither side of a join is broadcast."""
+    return df.hint("merge")
+
+
 def _chars(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0), lambda acc, t: acc + F.length(t))
 
@@ -39,18 +44,18 @@ def shared_token_length(
     exploded = lt.select(left_key, F.explode("l_toks").alias("token"))
     freq = (
         right.select(F.explode(tx.distinct_tokens(F.col(right_text))).alias("token"))
-        .join(exploded.select("token").distinct(), "token", "left_semi")
+        .join(_shuffled(exploded.select("token").distinct()), "token", "left_semi")
         .groupBy("token").agg(F.count("*").alias("df"))
     )
-    ranked = exploded.join(freq, "token").groupBy(left_key).agg(
+    ranked = exploded.join(_shuffled(freq), "token").groupBy(left_key).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("d"), "token"))).alias("by_df")
     )
     words = F.transform("by_df", lambda e: e["token"])
     rarer = F.filter(words, lambda t, i: _chars(F.slice(words, 1, i + 1)) >= at_least)
-    probes = ranked.select(left_key, F.explode(rarer).alias("token")).join(lt, left_key)
+    probes = ranked.select(left_key, F.explode(rarer).alias("token")).join(_shuffled(lt), left_key)
     shared = _chars(F.array_intersect("l_toks", "r_toks"))
     return (
-        probes.join(rt, "token")
+        probes.join(_shuffled(rt), "token")
         .select(left_key, right_key, shared.alias("shared_chars"))
         .filter(F.col("shared_chars") >= at_least)
         .distinct()
@@ -72,7 +77,7 @@ def contained_pairs(short: DataFrame, long: DataFrame, short_text: str, long_tex
     sizes_array = sizes.agg(F.collect_set("n").alias("sizes"))
     grams = F.array_distinct(F.flatten(F.transform("sizes", lambda n: _grams(F.col(long_text), n))))
     exploded = long.join(F.broadcast(sizes_array)).withColumn("g", F.explode(grams)).drop("sizes")
-    return s.join(exploded, "g").filter(F.contains(F.col(long_text), F.col(short_text))).drop("g")
+    return s.join(_shuffled(exploded), "g").filter(F.contains(F.col(long_text), F.col(short_text))).drop("g")
 
 
 def title_scores(targets: DataFrame, files: DataFrame) -> DataFrame:
@@ -95,19 +100,19 @@ def title_scores(targets: DataFrame, files: DataFrame) -> DataFrame:
         .filter(F.length("have") > 0).distinct()
     )
     wants = t.select("want").distinct()
-    equal = wants.join(c, F.col("want") == F.col("have")).select("want", "file_path", F.lit(6).alias("score")).distinct()
-    unequal = cut(wants.join(c.select(F.col("have").alias("want")), "want", "left_anti"))
+    equal = wants.join(_shuffled(c), F.col("want") == F.col("have")).select("want", "file_path", F.lit(6).alias("score")).distinct()
+    unequal = cut(wants.join(_shuffled(c.select(F.col("have").alias("want"))), "want", "left_anti"))
     inside = cut(
         contained_pairs(unequal, c, "want", "have").select("want", "file_path")
         .unionByName(contained_pairs(c, unequal, "have", "want").select("want", "file_path")).distinct()
     )
-    apart = unequal.join(inside.select("want"), "want", "left_anti")
+    apart = unequal.join(_shuffled(inside.select("want")), "want", "left_anti")
     cand = c.select("have").distinct()
-    shared = shared_token_length(apart, "want", "want", cand, "have", "have").join(c, "have").select(
+    shared = shared_token_length(apart, "want", "want", cand, "have", "have").join(_shuffled(c), "have").select(
         "want", "file_path", F.lit(2).alias("score")
     ).distinct()
     scored = equal.unionByName(inside.withColumn("score", F.lit(4))).unionByName(shared)
-    return scored.join(t, "want").select("query_id", "file_path", "score")
+    return scored.join(_shuffled(t), "want").select("query_id", "file_path", "score")
 
 
 def title_match(targets: DataFrame, files: DataFrame) -> DataFrame:

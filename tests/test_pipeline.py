@@ -56,6 +56,14 @@ def test_title_match_brute_force(spark):
     assert got == want
 
 
+def test_title_match_broadcasts_neither_questions_nor_titles(spark):
+    files = spark.sql("SELECT * FROM VALUES ('d/1.md', 'soil control') AS t(file_path, document_title)")
+    targets = spark.sql("SELECT * FROM VALUES (1, 'Soil'), (2, 'soil  control') AS t(query_id, requested_title)")
+    found = titles.title_match(targets, files)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(1, "d/1.md", 4), (2, "d/1.md", 6)}
+
+
 def test_context_caps_procedure_sections(spark):
     n = 20
     rows = [("q", i + 1, f"f{i}.md", i, "文本控制", "t", "控制策略" if i % 2 else "", "", "body") for i in range(n)]
