@@ -6,11 +6,15 @@ array inside the answer's row or on aggregates keyed by the question.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sparkfolio import lexicon as lx
 from sparkfolio.functions import chunks as ck
@@ -27,22 +31,22 @@ def best_sentence(text: Column, signals: Sequence[str] | Column, focus: Column |
     """Struct (sentence, score) of the best of the first eight sentences; ties go to the shortest."""
     terms = focus if focus is not None else F.array().cast("array<string>")
 
-    def hits(s: Column) -> Column:
+    def hits(s: Column, low: Column) -> Column:
         if isinstance(signals, Column):
-            return tx.count_terms(F.lower(s), F.transform(signals, F.lower))
-        return tx.count_signals_ci(s, signals)
+            found = tx.count_terms(low, F.transform(signals, F.lower))
+        else:
+            found = tx.count_signals(low, [w.lower() for w in signals])
+        return found + tx.count_terms(low, terms) + tx.count_signals(s, lx.METHOD_SIGNALS)
 
     scored = F.transform(
         tx.clean_sentences(text, 8),
         lambda s, i: F.struct(
-            (-(hits(s) + tx.count_terms(F.lower(s), terms) + tx.count_signals(s, lx.METHOD_SIGNALS))).alias("neg"),
-            F.length(s).alias("n"), i.alias("i"), s.alias("sentence"),
+            (-tx.let(F.lower(s), lambda low: hits(s, low))).alias("neg"), F.length(s).alias("n"), i.alias("i"), s.alias("sentence"),
         ),
     )
-    first = F.array_min(scored)
-    return F.when(
+    return tx.let(F.array_min(scored), lambda first: F.when(
         first.isNotNull(), F.struct(first["sentence"].alias("sentence"), (-first["neg"]).alias("score"))
-    )
+    ))
 
 
 def _cut(c: Column, n: int) -> Column:
@@ -113,59 +117,96 @@ def evidence(context: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("evidence"), F.first("intent").alias("intent"))
 
 
-def line_citation(line: Column, evidence_col: Column, intent: Column) -> Column:
-    """Citation of the chunk that supports a line best, or an empty string."""
-    bare = tx.normalized_sentence(F.regexp_replace(line, lx.CITATION, ""))
-
-    def pick(s: Column) -> Column:
-        terms = F.filter(tx.meaningful_tokens(s), lambda t: ~tx.is_expansion_only(t))
-
-        def best(ts: Column) -> Column:
-            scored = F.transform(
-                evidence_col,
-                lambda e: F.struct(
-                    (
-                        e["score"] + 4 * tx.count_terms(e["section"], ts) + 2 * tx.count_terms(e["text"], ts)
-                        + F.when(F.length(s) >= 8, 2 * tx.count_terms(e["text"], ts)).otherwise(0)
-                        + F.when(intent == "procedure", e["steps"]).otherwise(0)
-                    ).alias("score"),
-                    (-e["idx"]).alias("neg_idx"), (-e["context_pos"]).alias("neg_pos"), e["citation"].alias("citation"),
-                ),
-            )
-            top = F.array_max(F.filter(scored, lambda x: x["score"] > 0))
-            return F.coalesce(top["citation"], F.lit(""))
-
-        return F.when(F.length(s) == 0, "").otherwise(tx.let(terms, best))
-
-    return tx.let(bare, pick)
+def _holders(texts: list[str], terms: set[str]) -> dict[str, list[int]]:
+    """For each term the positions of the texts that contain it; no term has a line break."""
+    whole, starts = "\n".join(texts), [0, *accumulate(len(t) + 1 for t in texts)][:-1]
+    found: dict[str, list[int]] = {}
+    for term in terms:
+        held, at = [], whole.find(term)
+        while at >= 0:
+            k = bisect_right(starts, at) - 1
+            held.append(k)
+            at = whole.find(term, starts[k + 1]) if k + 1 < len(starts) else -1
+        found[term] = held
+    return found
+
+
+def _best_lines(lines: list[tuple[int, list[str]]], scores: list[int], texts: list[str], sections: list[str]) -> list[int]:
+    """For each line (length, terms) the position of the best chunk, -1 without one above zero; ties go to the later position.
+
+    A chunk without a term keeps its own score, so a line looks at the chunks of its terms and at the best of all.
+    """
+    terms = {t for _, ts in lines for t in ts}
+    in_text, in_section = _holders(texts, terms), _holders(sections, terms)
+    alone = max(range(len(scores)), key=lambda k: (scores[k], k), default=-1)
+    out = []
+    for length, ts in lines:
+        gain: dict[int, int] = {}
+        for t in ts:
+            for k in in_text[t]:
+                gain[k] = gain.get(k, 0) + (4 if length >= 8 else 2)
+            for k in in_section[t]:
+                gain[k] = gain.get(k, 0) + 4
+        best = max([(scores[k] + g, k) for k, g in gain.items()] + ([(scores[alone], alone)] if alone >= 0 else []), default=(0, -1))
+        out.append(best[1] if length and best[0] > 0 else -1)
+    return out
+
+
+LINE_COLUMNS = ["_lengths", "_terms", "_scores", "_texts", "_sections", "_marks"]
+
+
+def _cite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with ``_cited``, an array of citations, in place of LINE_COLUMNS."""
+    for batch in batches:
+        found = []
+        for lengths, terms, scores, texts, sections, marks in zip(*(batch.column(c).to_pylist() for c in LINE_COLUMNS)):
+            best = _best_lines(list(zip(lengths, terms)), scores, texts, sections)
+            found.append([marks[k] or "" if k >= 0 else "" for k in best])
+        kept = [n for n in batch.schema.names if n not in LINE_COLUMNS]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(found, pa.list_(pa.string()))], names=[*kept, "_cited"])
+
+
+def line_citations(rows: DataFrame, lines: Column) -> DataFrame:
+    """Add ``_cited``: for each of ``lines`` the citation of the chunk in ``evidence`` that supports it best, or an empty string.
+
+    A row's terms are looked up once in its evidence, in Arrow batches: a fold over lines, chunks and terms takes far
+    longer, as every step is interpreted.
+    """
+    bare = F.transform(lines, lambda x: tx.normalized_sentence(F.regexp_replace(x, lx.CITATION, "")))
+    terms = F.transform("_bare", lambda s: F.filter(tx.meaningful_tokens(s), lambda t: ~tx.is_expansion_only(t)))
+    steps = lambda e: F.when(F.col("intent") == "procedure", e["steps"]).otherwise(0)
+    own = F.transform("evidence", lambda e: F.struct(
+        (-e["idx"]).alias("neg_idx"), (-e["context_pos"]).alias("neg_pos"), e["citation"].alias("citation"), (e["score"] + steps(e)).alias("score"),
+        e["text"].alias("text"), e["section"].alias("section")))
+    # in ascending order of preference among equal scores
+    ranked = F.coalesce(F.array_sort(F.filter(own, lambda e: e["score"].isNotNull())), F.array())
+    part = lambda name: F.col("_ranked")[name]
+    made = (F.transform("_bare", F.length), terms, part("score"), part("text"), part("section"), part("citation"))
+    ready = rows.withColumns({"_bare": bare, "_ranked": ranked})
+    ready = ready.select(*rows.columns, *[c.alias(n) for n, c in zip(LINE_COLUMNS, made, strict=True)])
+    return ready.mapInArrow(_cite, StructType([*rows.schema.fields, StructField("_cited", ArrayType(StringType()))]))
 
 
 def is_refusal(answer: Column) -> Column:
     return tx.contains_any(answer, lx.REFUSAL_PHRASES)
 
 
-def with_line_citations(answer: Column, citations: Column, evidence_col: Column, intent: Column) -> Column:
-    """The answer with full citations: bare marks expanded, else one citation per line."""
-
-    def finish(text: Column) -> Column:
-        default = F.try_element_at(evidence_col, F.lit(1))["citation"]
-
-        def one(raw: Column) -> Column:
-            line = tx.trimmed_end(raw)
-            return F.when(tx.is_blank(line), "").otherwise(
-                tx.let(
-                    line_citation(line, evidence_col, intent),
-                    lambda c: F.concat(line, F.lit(" "), F.when(c == "", default).otherwise(c)),
-                )
-            )
-
-        lines = F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), one)
-        return F.when(text.rlike(lx.CITATION), text).otherwise(tx.trimmed_end(F.array_join(lines, "\n")))
-
-    no_context = evidence_col.isNull() | (F.size(evidence_col) == 0)
-    return F.when(tx.is_blank(answer) | no_context | is_refusal(answer), answer).otherwise(
-        tx.let(expand_bare(answer, citations), finish)
-    )
+def with_line_citations(rows: DataFrame, name: str = "answer") -> DataFrame:
+    """``rows`` (answer, citations, evidence, intent) with full citations in ``name``: bare marks expanded, else one citation per line."""
+    answer, found = F.col("answer"), F.col("evidence")
+    as_is = tx.is_blank(answer) | found.isNull() | (F.size(found) == 0) | is_refusal(answer)
+    rows = rows.withColumn("_text", expand_bare(answer, F.col("citations"))).withColumn("_as_is", as_is)
+    text = F.col("_text")
+    lines = F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), tx.trimmed_end)
+    # answers that stay as they are look for nothing
+    asked = F.when(F.col("_as_is") | text.rlike(lx.CITATION), F.array().cast("array<string>")).otherwise(lines)
+    rows = rows.withColumns({"_lines": lines, "_asked": asked})
+    rows = line_citations(rows, F.col("_asked"))
+    default = F.try_element_at(found, F.lit(1))["citation"]
+    cited = F.zip_with("_lines", "_cited", lambda x, c: F.when(tx.is_blank(x), "").otherwise(
+        F.concat(x, F.lit(" "), F.when(c == "", default).otherwise(c))))
+    whole = F.when(text.rlike(lx.CITATION), text).otherwise(tx.trimmed_end(F.array_join(cited, "\n")))
+    return rows.withColumn(name, F.when(F.col("_as_is"), answer).otherwise(whole)).drop("_text", "_as_is", "_lines", "_asked", "_cited")
 
 
 # ---------------------------------------------------------------- answer checks
@@ -471,9 +512,11 @@ def summary_answer(context: DataFrame) -> DataFrame:
 
     sentence = best_sentence(C.text, lx.SUMMARY_SUPPORT_SENTENCE_SIGNALS, _focus_only())["sentence"]
     line = F.concat(
-        F.lit("- "), ck.summary_label(C), F.lit("："), _cut(sentence, 150), F.lit("。 "), ck.citation(C)
+        F.lit("- "), ck.summary_label(C), F.lit("："), _cut(F.col("_sentence"), 150), F.lit("。 "), ck.citation(C)
     )
-    lines = rest.filter(~tx.is_blank(sentence)).groupBy("query_id").agg(
+    # by explode, since a filter would look for the sentence once more
+    told = rest.withColumn("_sentence", F.explode(F.filter(F.array(sentence), lambda s: ~tx.is_blank(s))))
+    lines = told.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("_pos", line.alias("line")))).alias("ls")
     )
     sents = tx.clean_sentences(C.text, 3)

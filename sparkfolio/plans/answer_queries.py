@@ -139,8 +139,7 @@ def line_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = contexts(spark, sf_dir)
     ev = an.evidence(c, "query_id").join(an.citation_map(c, "query_id"), "query_id")
     a = answers(spark, sf_dir, LINES).join(ev, "query_id")
-    text = an.with_line_citations(F.col("answer"), F.col("citations"), F.col("evidence"), F.col("intent"))
-    return a.select("query_id", text.alias("answer"))
+    return an.with_line_citations(a).select("query_id", "answer")
 
 
 GATE_ANSWER = derived.case(
