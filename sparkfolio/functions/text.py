@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from sparkfolio import lexicon as lx
 
 
+#: what ``(?U)\s`` matches; trimming by characters looks at the ends only, a pattern at every run of white space
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -32,11 +36,11 @@ def in_list(c: Column, words: Iterable[str]) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def trimmed_end(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def trim_chars(c: Column, chars: str) -> Column:
@@ -45,7 +49,7 @@ def trim_chars(c: Column, chars: str) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return ~F.coalesce(c, F.lit("")).rlike(r"(?U)\S")
+    return F.ltrim(F.coalesce(c, F.lit("")), F.lit(WHITE)) == ""
 
 
 def has_cjk(c: Column) -> Column:
@@ -61,7 +65,7 @@ def contains_any(c: Column, words: Iterable[str]) -> Column:
 
 
 def contains_any_ci(c: Column, words: Iterable[str]) -> Column:
-    return contains_any(F.lower(c), [w.lower() for w in words])
+    return let(F.lower(c), lambda low: contains_any(low, [w.lower() for w in words]))
 
 
 def count_signals(c: Column, words: Iterable[str]) -> Column:
@@ -70,7 +74,7 @@ def count_signals(c: Column, words: Iterable[str]) -> Column:
 
 
 def count_signals_ci(c: Column, words: Iterable[str]) -> Column:
-    return count_signals(F.lower(c), [w.lower() for w in words])
+    return let(F.lower(c), lambda low: count_signals(low, [w.lower() for w in words]))
 
 
 def count_terms(c: Column, terms: Column) -> Column:
@@ -179,36 +183,41 @@ def clean_sentences(c: Column, take: int | None = None) -> Column:
     return F.slice(cleaned, 1, take) if take else cleaned
 
 
+def _with_lower(c: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """Hand ``body`` the trimmed text and its lower case, each made once."""
+    return let(trimmed(c), lambda t: let(F.lower(t), lambda low: body(t, low)))
+
+
 def is_reference_like(c: Column) -> Column:
-    t = trimmed(c)
-    low = F.lower(t)
-    journal = low.contains("[j]") | low.contains("doi")
-    punctuation = t.contains("，") & t.contains(".") & (t.contains("(") | t.contains("："))
-    return t.rlike(lx.REFERENCE_LINE) | (t.rlike("^(?:\\[|\\p{Nd})") & journal & punctuation)
+    def judge(t: Column, low: Column) -> Column:
+        journal = low.contains("[j]") | low.contains("doi")
+        punctuation = t.contains("，") & t.contains(".") & (t.contains("(") | t.contains("："))
+        # the tests without a pattern first: few texts pass them
+        return t.rlike(lx.REFERENCE_LINE) | (journal & punctuation & t.rlike("^(?:\\[|\\p{Nd})"))
+
+    return _with_lower(c, judge)
 
 
 def is_metadata_like(c: Column) -> Column:
-    t = trimmed(c)
-    low = F.lower(t)
-    return (
+    return _with_lower(c, lambda t, low: (
         t.rlike(lx.METADATA_LINE)
         | contains_any(t, lx.METADATA_SENTENCE_TERMS)
         | low.contains("key words")
         | low.contains("abstract:")
-    )
+    ))
 
 
 def is_title_or_author_like(c: Column) -> Column:
-    t = trimmed(c)
-    low = F.lower(t)
-    sentence_marks = t.rlike("[。，：:]")
-    return (F.length(t) > 0) & (
-        t.rlike(lx.HEADING_LINE)
-        | t.rlike(lx.HTML_TAG)
-        | reduce(or_, [low.contains(x) for x in lx.TITLE_PHRASES])
-        | (t.contains("；") & t.rlike("\\p{Lu}") & ~t.rlike("[。，]"))
-        | (~sentence_marks & has_cjk(t) & t.rlike("[A-Za-z]") & (F.length(t) > 24))
-    )
+    def judge(t: Column, low: Column) -> Column:
+        return (F.length(t) > 0) & (
+            t.rlike(lx.HEADING_LINE)
+            | t.rlike(lx.HTML_TAG)
+            | reduce(or_, [low.contains(x) for x in lx.TITLE_PHRASES])
+            | (t.contains("；") & t.rlike("\\p{Lu}") & ~t.rlike("[。，]"))
+            | ((F.length(t) > 24) & has_cjk(t) & t.rlike("[A-Za-z]") & ~t.rlike("[。，：:]"))
+        )
+
+    return _with_lower(c, judge)
 
 
 def is_parameter_heavy(c: Column) -> Column:

@@ -53,6 +53,11 @@ def _best_of_key(cand: DataFrame, keys: list[str], keep: int) -> DataFrame:
     return cand.withColumn("_kn", F.row_number().over(w)).filter(F.col("_kn") <= keep).drop("_kn")
 
 
+def _positive(ranked: DataFrame) -> DataFrame:
+    """After the ranking, where the best come first: a filter before it would make each score once more."""
+    return ranked.filter("_score > 0")
+
+
 def _per_seed(pairs: DataFrame, limit: int | Column) -> DataFrame:
     """Drop the seed itself, one row per related chunk, the best ``limit`` per seed."""
     rows = pairs.filter(F.col("idx") != F.col("seed_idx")).dropDuplicates(["query_id", "_f", "seed_idx", "idx"])
@@ -126,7 +131,7 @@ def section_related(seeds: DataFrame, chunks: DataFrame) -> DataFrame:
     """Body or summary chunks on the seed's path, below its parent, or at most two positions away."""
     s = seeds.filter(~tx.is_blank(F.col("structure_path"))).withColumn("_f", F.upper("file_path"))
     c = chunks.filter(F.col("content_kind").isin("body", "summary", "")).withColumn("_f", F.upper("file_path"))
-    scored = _with_terms(c, s).withColumn("_score", F.round(section_score(), 9)).filter("_score > 0")
+    scored = _with_terms(c, s).withColumn("_score", F.round(section_score(), 9))
     own, parent = path_key(F.col("structure_path")), parent_key(F.col("structure_path"))
     above = F.filter(prefixes(F.col("structure_path")), lambda p: p != own)
     cand_keys = F.concat(
@@ -142,7 +147,7 @@ def section_related(seeds: DataFrame, chunks: DataFrame) -> DataFrame:
     on = ["query_id", "_f", "_key"]
     cand = scored.withColumn("_key", F.explode(cand_keys)).join(sk.select(*on).distinct(), on, "left_semi")
     many = F.col("intent").isin("composition", "procedure", "module_list", "module_implementation")
-    return _per_seed(_best_of_key(cand, on, 5).join(sk, on), F.when(many, 4).otherwise(2)).drop("_f", "_key")
+    return _per_seed(_positive(_best_of_key(cand, on, 5)).join(sk, on), F.when(many, 4).otherwise(2)).drop("_f", "_key")
 
 
 def anchor_path(path: Column, terms: Column) -> Column:
@@ -169,13 +174,13 @@ def chapter_related(seeds: DataFrame, chunks: DataFrame, radius: int = lx.CONTEX
     chapter = tx.count_signals(C.structure_text, lx.PROCEDURE_CHAPTER_SIGNALS) * F.lit(0.08)
     scored = _with_terms(c, s).withColumn(
         "_score", F.round(_score("focus_terms") + ck.title_score(C, F.col("focus_terms")) + chapter, 9)
-    ).filter("_score > 0")
+    )
     own = path_key(F.col("structure_path"))
     on = ["query_id", "_f", "_key"]
     cand = scored.withColumn(
         "_key", F.explode(F.filter(prefixes(F.col("structure_path")), lambda p: p != own))
     ).join(sk.select(*on).distinct(), on, "left_semi")
-    return _per_seed(_best_of_key(cand, on, limit + 1).join(sk, on), limit).drop("_f", "_key")
+    return _per_seed(_positive(_best_of_key(cand, on, limit + 1)).join(sk, on), limit).drop("_f", "_key")
 
 
 def context_window(seeds: DataFrame, chunks: DataFrame, radius: int = lx.CONTEXT_RADIUS) -> DataFrame:

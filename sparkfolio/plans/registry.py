@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS_A_TASK = 50_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for CPU-heavy row work when the input is a single small split.
+    """Use every core for CPU-heavy row work when the input is a few splits.
 
-    A real corpus arrives in more splits than there are cores; then this does nothing,
-    so no shuffle is added at scale.
+    A task gets at most about ``ROWS_A_TASK`` rows, so that none grows with the input; the count comes from the files'
+    footers. A real corpus arrives in more splits than that; then this does nothing, so no shuffle is added at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / ROWS_A_TASK))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df

@@ -298,8 +298,8 @@ _BEST = ("the", "tion", "ing", "eau", "keit")
 def best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkfolio.operators.answers import best_sentence as best
 
-    c = derived.chunks(spark, sf_dir).select("doc_id", "idx", best(F.col("text"), _BEST).alias("b"))
-    return c.filter("b IS NOT NULL").select("doc_id", "idx", "b.sentence", "b.score")
+    # by inline, since a filter would look for the sentence once more
+    return derived.chunks(spark, sf_dir).select("doc_id", "idx", F.inline(F.array_compact(F.array(best(F.col("text"), _BEST)))))
 
 
 @query("entity_count")

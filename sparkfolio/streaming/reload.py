@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.operators.chunking import document_chunks
@@ -59,8 +59,9 @@ def changes(files: DataFrame, seen: DataFrame) -> DataFrame:
 def merge(store: Store, batch: DataFrame) -> None:
     """The last change of each file in the batch: its chunks replace the stored ones."""
     spark = batch.sparkSession
-    last = batch.groupBy("file_path").agg(F.max("seq").alias("seq"))
-    batch = cut(batch.join(last, ["file_path", "seq"], "left_semi").dropDuplicates(["file_path"]))
+    # contents are shuffled once: the same change found twice is one row too
+    last = Window.partitionBy("file_path").orderBy(F.desc("seq"))
+    batch = cut(batch.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth"))
     stay = batch.where("op <> 'delete'")
     tables.replace_rows(spark, store.name, batch, store.chunker(stay.select("file_path", "content")))
     tables.replace_rows(spark, store.seen, batch, stay.select("file_path", "content_hash"))  # last: until then the batch counts as not merged
