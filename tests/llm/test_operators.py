@@ -135,6 +135,41 @@ def test_all_links(spark):
     assert set(got) == want and len(got) == len(want) and want
 
 
+def chain(rng, size, count):
+    """Texts of which each has parts in common with the next, some beyond the similarity and some below."""
+    texts = [prose(rng, size)]
+    while len(texts) < count:
+        texts.append(near(rng, texts[-1], rng.choice((1, 3, 6))))
+    return texts
+
+
+def test_nodes_of_small_buckets_meet_in_pairs_only(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = list(enumerate(chain(rng, 120, 40) + chain(rng, 40, 40)))
+
+    def group(num, den):
+        raise AssertionError("nodes which meet through others alone were compared")
+
+    monkeypatch.setattr(jaccard, "_compare", group)
+    got = sorted(map(tuple, jaccard.jaccard_components(frame(spark, rows)).collect()), key=str)
+    assert got == brute_components(rows, 4, 85, 100)
+    assert 2 < len({r[2] for r in got}) < 80
+
+
+def test_large_buckets_are_compared_in_groups(spark, monkeypatch):
+    rng = random.Random(18)
+    rows = list(enumerate(chain(rng, 120, 40) + chain(rng, 12, 30) + chain(rng, 700, 8)))
+    monkeypatch.setattr(jaccard, "PAIRED", 1)
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 5)
+    got = jaccard.jaccard_components(frame(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, 4, 85, 100)
+    in_groups = jaccard.similar_sets(frame(spark, rows))[1]
+    monkeypatch.undo()
+    in_pairs = jaccard.similar_sets(frame(spark, rows))[1]
+    found = [sorted(map(tuple, x.select("a", "b").collect())) for x in (in_groups, in_pairs)]
+    assert found[0] == found[1] and len(set(found[0])) == len(found[0]) > 20
+
+
 def test_partenum_covers_every_similar_pair():
     rng, sign = np.random.default_rng(1), jaccard.PartEnum(85, 100)
     for n in [*range(2, 60), 90, 150, 333, 800]:
