@@ -411,6 +411,67 @@ def test_compact_windows_cover_every_run():
                 assert any(low <= i <= c <= j <= high and values[c] == values[i:j + 1].min() for low, c, high in found)
 
 
+def test_signatures_are_the_least_values_of_some_run():
+    rng = np.random.default_rng(8)
+    for t, least in enumerate((46, 46, 46, 9, 9, 9)):
+        line = rng.integers(0, 2 ** 63, 160, dtype=np.uint64)
+        if t % 3:  # shingles which repeat nearby
+            line = line[rng.integers(0, 160 >> t % 3, 160)]
+        values = [passages.mix(line ^ np.uint64((k + 1) * passages.ODD & passages.ALL)) for k in range(passages.HASHES)]
+        want = {(i, j, values[i][s:s + least].min(), values[j][s:s + least].min())
+                for s in range(160 - least + 1) for i, j in combinations(range(passages.HASHES), 2)}
+        signed, places = passages.signatures(line, least)
+        assert len(set(signed.tolist())) == len(want)
+        upper = {int(x) >> 32 for x in signed}
+        assert upper == {int(passages.mix(np.array([x]))[0]) >> 32 for _, _, x, _ in want}
+        assert places.min() >= 0 and places.max() < 160
+
+
+def batches(rng, rows):
+    """Rows in batches of uneven size."""
+    at = sorted({0, len(rows), *rng.choices(range(len(rows) + 1), k=5)})
+    for low, high in zip(at, at[1:]):
+        yield passages._rows(*np.array(rows[low:high], np.int64).reshape(-1, 3).T)
+
+
+def test_only_windows_with_a_root_in_another_text_sign():
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 2 ** 63, 60, dtype=np.uint64)
+    lines = [rng.integers(0, 2 ** 63, 300, dtype=np.uint64) for _ in range(6)]
+    lines[4][100:160] = lines[5][7:67] = common
+    owner, key, window = passages.packed_windows(lines, 46)
+    rows = sorted(zip(key.view(np.int64).tolist(), owner.tolist(), window.tolist()))
+    kept = sorted((r for b in passages._shared(batches(random.Random(1), rows)) for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[1])
+    assert {r[1] for r in kept} == {4, 5} and len(kept) < len(rows) / 8
+    made = [r for b in passages._joined(46)(batches(random.Random(2), kept)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    for a in (4, 5):
+        whole = set(zip(*(x.tolist() for x in passages.signatures(lines[a], 46))))
+        of_a = {(s % 2 ** 64, place) for s, node, place in made if node == a}
+        other = set(passages.signatures(lines[9 - a], 46)[0].tolist())
+        assert of_a <= whole and {x for x in whole if x[0] in other} <= of_a
+
+
+@pytest.mark.parametrize("gathered", [1, 7, 200_000])
+def test_buckets_of_equal_nodes_and_places_are_one(monkeypatch, gathered):
+    rng = random.Random(gathered)
+    gather = passages._gathered
+    monkeypatch.setattr(passages, "_gathered", lambda rows, least: gather(rows, gathered))
+    rows = sorted((s, rng.randrange(4), rng.randrange(3)) for s in range(60) for _ in range(rng.choice((1, 2, 3, 9))))
+    want = defaultdict(lambda: defaultdict(set))
+    for s, node, place in rows:
+        want[s][node].add(place)
+    want = {s: sorted((n, tuple(sorted(p))) for n, p in of.items()) for s, of in want.items() if len(of) > 1}
+    got = defaultdict(list)
+    for b in passages._buckets(batches(rng, rows)):
+        for s, node, places, rank in zip(*(c.to_pylist() for c in b.columns)):
+            got[s].append((node, tuple(places)))
+            assert rank == len(got[s]) - 1
+    assert all(want[s] == x for s, x in got.items())
+    assert {str(x) for x in got.values()} == {str(x) for x in want.values()}
+    if gathered > len(rows):
+        assert len(got) < len(want)
+
+
 # ---------------------------------------------------------------- op9
 
 def test_pseudonyms_go_back_and_forth(spark):
