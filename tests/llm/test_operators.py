@@ -472,6 +472,71 @@ def test_buckets_of_equal_nodes_and_places_are_one(monkeypatch, gathered):
         assert len(got) < len(want)
 
 
+def test_a_short_common_stretch_costs_no_pairs(spark, monkeypatch):
+    rng = random.Random(14)
+    notice, passage = prose(rng, 40), prose(rng, 70)  # the notice is shorter than a passage
+    rows = [(i, f"{prose(rng, 60)} {notice} {prose(rng, 60)}") for i in range(40)]
+    rows += [(50 + i, f"{prose(rng, 60)} {passage} {prose(rng, i)} {notice} {prose(rng, 60)}") for i in range(3)]
+    rows += [(60, f"{prose(rng, 60)} {notice} {prose(rng, 20)}"), (61, f"{rows[3][1]} {prose(rng, 20)}")]
+    tested, verified = spark.sparkContext.accumulator(0), passages._verified
+
+    def counted(*args):
+        run = verified(*args)
+
+        def counting(batches):
+            for batch in batches:
+                tested.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return counting
+
+    monkeypatch.setattr(passages, "_verified", counted)
+    found = {(r["doc_id"], r["other"]) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    assert {(3, 61), (61, 3), (50, 51), (51, 50), (50, 52), (52, 50)} <= found <= {(3, 61), (61, 3), *((a, b) for a in (50, 51, 52) for b in (50, 51, 52))}
+    assert tested.value < 200  # 1,604 if crowds are not parted
+
+
+def brute_parts(codes, needed):
+    held = [set(c.tolist()) for c in codes]
+    linked = [[min(sum(int(x) in held[j] for x in codes[i]), sum(int(x) in held[i] for x in codes[j])) >= needed for j in range(len(codes))] for i in range(len(codes))]
+    part = list(range(len(codes)))
+    for _ in codes:
+        part = [min(part[j] for j in range(len(codes)) if j == i or linked[i][j]) for i in range(len(codes))]
+    return part
+
+
+def test_parts_are_the_linked_contexts():
+    rng = np.random.default_rng(12)
+    for size, kinds in ((2, 30), (9, 60), (40, 200), (40, 90)):
+        codes = [np.sort(rng.integers(0, kinds, rng.integers(20, 40))).astype(np.uint32) for _ in range(size)]
+        codes += [rng.permutation(codes[0])[:18], rng.permutation(codes[1])[:17]]
+        assert passages.parts(codes, 17).tolist() == brute_parts(codes, 17)
+    # codes of more contexts than HOT: enough of them link, fewer do not
+    common = np.arange(10, dtype=np.uint32)
+    codes = [np.sort(np.r_[common, rng.integers(100, 2 ** 32, 12)]).astype(np.uint32) for _ in range(passages.HOT + 40)]
+    codes[5] = codes[70].copy()
+    part = passages.parts(codes, 17)
+    assert part[5] == part[70] and len(set(part.tolist())) == len(codes) - 1
+    assert len(set(passages.parts(codes, 10).tolist())) == 1
+
+
+def test_listed_runs_give_the_chains_of_compared_values(monkeypatch):
+    rng = np.random.default_rng(9)
+    for t in range(300):
+        x = rng.integers(0, 2 ** 63, 150, dtype=np.uint64)[rng.integers(0, (150, 40, 15)[t % 3], 150)]
+        y = x[np.sort(rng.permutation(150)[:130])]
+        y[rng.integers(0, 130, 12)] = rng.integers(0, 2 ** 63, 12, dtype=np.uint64)
+        y = np.roll(y, t % 7)
+        i, j = rng.integers(0, 150), rng.integers(0, 130)
+        chains = []
+        for most in (10 ** 9, 0):
+            monkeypatch.setattr(passages, "MATCHES", most)
+            meeting = passages.Meeting(passages.sorted_line(x), passages.sorted_line(y))
+            chains.append(passages.chained(meeting, int(i), int(j), 0.8).tolist())
+        assert chains[0] == chains[1]
+        assert not (meeting.hopeless(46, 0.8) and passages.similar_spans(np.array(chains[0], np.int64).reshape(-1, 3), 150, 130, 46, 0.8))
+
+
 # ---------------------------------------------------------------- op9
 
 def test_pseudonyms_go_back_and_forth(spark):
