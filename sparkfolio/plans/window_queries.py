@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sparkfolio import lexicon as lx
 from sparkfolio.functions import text as tx
 from sparkfolio.operators import window as wn
-from sparkfolio.operators.lineage import cut
 from sparkfolio.plans import derived
 from sparkfolio.plans import sqltext as sq
 from sparkfolio.plans.registry import query
@@ -20,7 +19,7 @@ SEED_RULE = "content_kind = 'summary' OR content_kind = 'abstract'"
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(derived.chunks(spark, sf_dir).drop("doc_id", "source"))
+    return derived.chunks(spark, sf_dir).drop("doc_id", "source")
 
 
 def seeds(c: DataFrame, intent: str = "procedure") -> DataFrame:

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions import markup as mk
 from sparkfolio.functions import templates as tp
-from sparkfolio.operators import bibtex, carry, context, convert, titles, vectors
+from sparkfolio.operators import bibtex, carry, context, convert, titles, vectors, window
+from sparkfolio.plans import window_queries
 
 E = [[1.0, 0.0], [0.6, 0.8], [0.0, 1.0], [1.0, 0.0], [0.0, 0.0]]
 
@@ -101,3 +102,17 @@ def test_bibtex():
 def test_style_pairs(spark):
     df = spark.createDataFrame([("heading1",), ("nope",)], "k string")
     assert {r["k"]: r["style_id"] for r in tp.with_style_id(df, "k").collect()} == {"heading1": "Heading1", "nope": None}
+
+
+def test_texts_meet_the_questions_of_a_window_once(spark):
+    rows = [(f"a/{f}.json", i, "标题", f"节 {i % 3}", f"标题 > 节 {i % 3} > [{i % 2}]", ("summary", "body", "body")[i % 3], f"系统控制 the {i}")
+            for f in range(3) for i in range(9)]
+    chunks = spark.createDataFrame(rows, "file_path string, idx int, document_title string, section_title string, structure_path string, content_kind string, text string")
+    found = window.context_window(window_queries.seeds(chunks), chunks)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    moved = [block for block in plan.split("\n(") if "Exchange" in block.split("\n")[0]]
+    assert moved and not any("text#" in block for block in moved)
+    got = [(r["query_id"], r["pos"], r["idx"], r["is_seed"]) for r in found.orderBy("query_id", "pos").collect()]
+    assert [r[1:] for r in got[:6]] == [(k + 1, i, s) for k, (i, s) in enumerate((r[2], r[3]) for r in got[:6])]
+    assert {(q, i) for q, _, i, s in got if s} == {(f"a/{f}.json", i) for f in range(3) for i in (0, 3, 6)}
+    assert len(got) == 18
