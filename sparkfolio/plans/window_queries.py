@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkfolio import lexicon as lx
 from sparkfolio.functions import text as tx
 from sparkfolio.operators import window as wn
+from sparkfolio.operators.lineage import stored
 from sparkfolio.plans import derived
 from sparkfolio.plans import sqltext as sq
 from sparkfolio.plans.registry import query
@@ -110,4 +111,5 @@ def chapter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT file_path AS query_id, row_number() OVER (PARTITION BY file_path ORDER BY idx) AS pos, file_path, idx, is_seed FROM p WHERE rn <= size""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    return wn.context_window(seeds(c), c)
+    # few rows without texts, which many steps read
+    return wn.context_window(stored(seeds(c), "seeds"), c)
